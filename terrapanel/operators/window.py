@@ -110,15 +110,18 @@ def chrono_split(df: DataFrame, by: str | Sequence[str], period: str, test_share
 # -- W7: ordinal ring layout --------------------------------------------------------------------
 def ring_layout(df: DataFrame, entity: str, member: str, radius: float = 1.3) -> DataFrame:
     """k-th of n members of an entity (ordered by name) gets angle 2*pi*(k-1)/n
-    on a ring of ``radius`` around the entity centre (offsets dx, dy)."""
-    w = Window.partitionBy(entity).orderBy(member)
-    k = F.row_number().over(w)
-    n = F.count(F.lit(1)).over(Window.partitionBy(entity))
-    ang = F.lit(2 * 3.141592653589793) * (k - 1) / n
-    return (df.withColumn("ring_pos", k).withColumn("ring_n", n.cast("int"))
+    on a ring of ``radius`` around the entity centre (offsets dx, dy).  Positions
+    come from ``group_positions``, so an entity with a third of all members is
+    still spread over many tasks."""
+    from terrapanel.operators.rank import group_positions
+
+    p = group_positions(df, entity, member)
+    ang = F.lit(2 * 3.141592653589793) * (F.col("pos") - 1) / F.col("grp_n")
+    return (p.withColumn("ring_pos", F.col("pos").cast("int")).withColumn("ring_n", F.col("grp_n").cast("int"))
               .withColumn("angle", ang)
               .withColumn("dx", F.lit(radius) * F.cos("angle"))
-              .withColumn("dy", F.lit(radius) * F.sin("angle")))
+              .withColumn("dy", F.lit(radius) * F.sin("angle"))
+              .drop("pos", "grp_n"))
 
 
 # -- W8: running stack --------------------------------------------------------------------------
@@ -129,12 +132,13 @@ def running_sum(df: DataFrame, value: str, order_by: str | Sequence[str], partit
 
 
 # -- W9: stable hash holdout --------------------------------------------------------------------
-def hash_split(df: DataFrame, key: str | Sequence[str], test_pct: int = 25, seed: int = 42) -> DataFrame:
-    """Deterministic random holdout: ``pmod(xxhash64(seed, key), 100) < test_pct``.
-    Stable under repartitioning and re-execution (a lost executor recomputes the
-    same split)."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in _cols(key)]), F.lit(100))
-    return df.withColumn("is_test", h < F.lit(test_pct))
+def hash_split(df: DataFrame, key: str, test_pct: int = 25, seed: int = 42) -> DataFrame:
+    """Deterministic random holdout: the first 32 bits of ``md5("<seed>:<key>")``
+    modulo 100 below ``test_pct``.  Stable under repartitioning and
+    re-execution (a lost executor recomputes the same split), and the same
+    function exists in SQL engines, so the split can be checked independently."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10)
+    return df.withColumn("is_test", F.pmod(h.cast("bigint"), F.lit(100)) < F.lit(test_pct))
 
 
 def ordered(col: str | Column) -> Column:
