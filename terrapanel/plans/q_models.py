@@ -1,3 +1,94 @@
-"""Registered queries."""
+"""Registered queries: scoring models and anomaly detection."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terrapanel.operators import scoring as S
+from terrapanel.operators.anomaly import isolation_forest
+from terrapanel.operators.window import hash_split
+from terrapanel.plans.catalog import Ctx, query
+from terrapanel.plans.q_trend import _features
+
+READY_X = ["gaps_x", "total_x"]
+RISK_X = ["physical_score", "transition_score", "flood_score", "heat_score"]
+
+READY_SQL = """f AS (SELECT firm_id, readiness_score AS y, CAST(gaps_count AS DOUBLE) AS gaps_x,
+                  scope1 + scope2 + scope3 AS total_x,
+                  ((('0x' || substr(md5('42:' || CAST(firm_id AS VARCHAR)), 1, 8))::UBIGINT) % 100) < 25 AS is_test
+           FROM firms),
+m AS (SELECT avg(y) AS my, avg(gaps_x) AS m1, avg(total_x) AS m2, covar_pop(gaps_x, gaps_x) AS v11,
+             covar_pop(total_x, total_x) AS v22, covar_pop(gaps_x, total_x) AS v12,
+             covar_pop(gaps_x, y) AS c1, covar_pop(total_x, y) AS c2 FROM f WHERE NOT is_test),
+c AS (SELECT (c1 * v22 - c2 * v12) / (v11 * v22 - v12 * v12) AS b1, (c2 * v11 - c1 * v12) / (v11 * v22 - v12 * v12) AS b2,
+             my, m1, m2 FROM m),
+k AS (SELECT b1, b2, my - (b1 * m1 + b2 * m2) AS b0 FROM c),
+p AS (SELECT f.*, b0 + b1 * gaps_x + b2 * total_x AS predicted FROM f, k)"""
+
+
+def _ready(c: Ctx):
+    f = c.firms.select("firm_id", F.col("readiness_score").alias("y"), F.col("gaps_count").cast("double").alias("gaps_x"),
+                       (F.col("scope1") + F.col("scope2") + F.col("scope3")).alias("total_x"))
+    f = hash_split(f, "firm_id", 25, 42)
+    coefs = S.fit_linear(f.where(~F.col("is_test")), "y", READY_X)
+    return f.withColumn("predicted", S.predict(coefs, READY_X)), coefs
+
+
+@query("readiness_scored", ("M17", "M18", "W9"), f"""
+WITH {READY_SQL}
+SELECT firm_id, y AS readiness_score, is_test, round(predicted, 6) AS predicted FROM p
+""")
+def readiness_scored(spark, d):
+    p, _ = _ready(Ctx(spark, d))
+    return p.select("firm_id", F.col("y").alias("readiness_score"), "is_test", F.round("predicted", 6).alias("predicted"))
+
+
+@query("readiness_eval", ("M19", "M17"), f"""
+WITH {READY_SQL},
+e AS (SELECT y, predicted, y - predicted AS err FROM p WHERE is_test)
+SELECT count(*) AS n, round(avg(abs(err)), 6) AS mae, round(sqrt(avg(err * err)), 6) AS rmse,
+       round(CASE WHEN count(*) > 1 AND var_pop(y) > 0 THEN 1.0 - sum(err * err) / (var_pop(y) * count(*)) END, 6) AS r2
+FROM e
+""")
+def readiness_eval(spark, d):
+    p, _ = _ready(Ctx(spark, d))
+    return S.metrics(p.where(F.col("is_test")), "y", "predicted")
+
+
+def _risk(c: Ctx):
+    s = hash_split(c.sites.select("entity", "site", "composite_score", *RISK_X), "site", 25, 42)
+    coefs = S.fit_linear(s.where(~F.col("is_test")), "composite_score", RISK_X, positive=True)
+    return s, coefs
+
+
+@query("risk_nnls_coefficients", ("M16",))
+def risk_nnls_coefficients(spark, d):
+    _, coefs = _risk(Ctx(spark, d))
+    return S.coefficients_frame(spark, coefs, RISK_X)
+
+
+@query("risk_nnls_scored", ("M16", "M18"))
+def risk_nnls_scored(spark, d):
+    s, coefs = _risk(Ctx(spark, d))
+    return s.select("entity", "site", "composite_score", "is_test",
+                    F.round(S.predict(coefs, RISK_X), 6).alias("predicted"))
+
+
+FEATS = ["level_pct", "level_diff", "share_a_diff"]
+
+
+def _forest(c: Ctx):
+    f = _features(c).withColumn("row_key", F.concat_ws("|", "entity", F.col("period").cast("string")))
+    return isolation_forest(f, "row_key", FEATS, contamination=0.1, trees=100, psi=256, seed=42)
+
+
+@query("isolation_forest", ("M14",))
+def isolation_forest_q(spark, d):
+    r = _forest(Ctx(spark, d))
+    return r.select("entity", "period", *FEATS, F.round("score", 6).alias("score"),
+                    F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
+
+
+@query("anomaly_flagged", ("M15",))
+def anomaly_flagged(spark, d):
+    return _forest(Ctx(spark, d)).where("is_anomaly").select("entity", "period", *FEATS)
