@@ -4,10 +4,10 @@
 * ``sites``  (entity, site) 0..10 scores            ~ regional climate risk
 * ``firms``  (firm_id) scope totals and readiness   ~ company disclosures
 
-Plan shape: the fact table (orders) is aggregated by customer *before* it meets
-customer, so the one large shuffle carries partial sums, a hot customer key
-collapses map-side, and nation (25 rows) is joined last where AQE broadcasts
-it by its measured size.
+Plan shapes: ``panel`` joins orders to its dimensions and aggregates once into
+(entity, period); ``firms`` aggregates orders per customer *before* the
+customer join (ten orders per customer collapse map-side, and the aggregate is
+already partitioned on the join key).
 """
 
 from __future__ import annotations
@@ -19,25 +19,25 @@ from terrapanel.sources.tables import Tables
 DEC = "decimal(18,2)"
 
 
-def _orders_by_customer_year(t: Tables) -> DataFrame:
-    o = t.orders.select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    return (o.groupBy("o_custkey", F.year("o_orderdate").cast("int").alias("period"))
-             .agg(F.sum(F.col("o_totalprice").cast(DEC)).alias("amount"),
-                  F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("n_f"),
-                  F.sum(F.when(F.col("o_orderstatus") == "O", 1).otherwise(0)).alias("n_o"),
-                  F.sum(F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)).alias("n_p"),
-                  F.count(F.lit(1)).alias("n")))
-
-
 def panel(t: Tables) -> DataFrame:
-    per_cust = _orders_by_customer_year(t)
+    """orders ⋈ customer ⋈ nation, then one aggregate to (entity, period).
+
+    The dimension joins are planned by size: below the broadcast threshold the
+    whole view is one stage (scan → two hash joins → partial aggregate) and only
+    the 175-group partial states are exchanged; above it, orders ⋈ customer is a
+    sort-merge join on the customer key where AQE splits a hot customer.
+    """
+    o = t.orders.select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     cust = t.customer.select("c_custkey", "c_nationkey")
     nat = t.nation.select("n_nationkey", F.col("n_name").alias("entity"))
-    j = (per_cust.join(cust, per_cust.o_custkey == cust.c_custkey)
-                 .join(nat, F.col("c_nationkey") == nat.n_nationkey))
-    g = j.groupBy("entity", "period").agg(
-        F.sum("amount").alias("amount"), F.sum("n_f").alias("n_f"), F.sum("n_o").alias("n_o"),
-        F.sum("n_p").alias("n_p"), F.sum("n").alias("n"))
+    j = (o.join(cust, o.o_custkey == cust.c_custkey)
+          .join(nat, F.col("c_nationkey") == nat.n_nationkey))
+    g = j.groupBy("entity", F.year("o_orderdate").cast("int").alias("period")).agg(
+        F.sum(F.col("o_totalprice").cast(DEC)).alias("amount"),
+        F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("n_f"),
+        F.sum(F.when(F.col("o_orderstatus") == "O", 1).otherwise(0)).alias("n_o"),
+        F.sum(F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)).alias("n_p"),
+        F.count(F.lit(1)).alias("n"))
     return g.select(
         "entity", "period",
         (F.col("amount").cast("double") / F.lit(1e6)).alias("level_mt"),
