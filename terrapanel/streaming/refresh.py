@@ -36,8 +36,14 @@ def landing_stream(spark: SparkSession, path: str, schema: StructType | str, fmt
     if fmt == "csv":
         reader = reader.option("header", True)
     return (reader.load(path).withColumn("_ingested_at", F.current_timestamp())
-                  .withColumn("_source_file", F.col("_metadata.file_name"))
-                  .withColumn("_row_seq", F.monotonically_increasing_id()))
+                  .withColumn("_source_file", F.col("_metadata.file_name")))
+
+
+def _with_row_seq(batch: DataFrame) -> DataFrame:
+    """Row order inside one micro-batch (a static frame, where row ids are allowed)."""
+    if "_row_seq" in batch.columns:
+        return batch
+    return batch.withColumn("_row_seq", F.monotonically_increasing_id())
 
 
 def _freshness_row(batch: DataFrame, ds: Dataset, batch_id: int, status: str) -> DataFrame:
@@ -59,7 +65,7 @@ def refresh(stream: DataFrame, root: str, ds: Dataset, clean: Callable[[DataFram
     ckpt = f"{checkpoint_dir(spark).rstrip('/')}/refresh_{name or ds.name}"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = _with_row_seq(batch).persist()
         try:
             data = clean(batch) if clean else batch
             res = publish(data, root, ds, snapshot_id=f"{batch_id:010d}")
@@ -81,15 +87,24 @@ def upsert(stream: DataFrame, root: str, ds: Dataset, every_seconds: int | None
     ckpt = f"{checkpoint_dir(spark).rstrip('/')}/upsert_{name or ds.name}"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        upsert_snapshot(batch, root, ds, snapshot_id=f"{batch_id:010d}")
+        upsert_snapshot(_with_row_seq(batch), root, ds, snapshot_id=f"{batch_id:010d}")
 
     return _trigger(stream.writeStream.foreachBatch(run).option("checkpointLocation", ckpt), every_seconds).start()
 
 
+def _is_ntz(df: DataFrame, col: str) -> bool:
+    return dict(df.dtypes).get(col) == "timestamp_ntz"
+
+
 def dedupe(stream: DataFrame, key: Sequence[str], event_time: str, watermark: str = "1 day") -> DataFrame:
     """ST3: drop re-sent rows; state is bounded by the watermark (older re-sends
-    are handled by the keyed upsert of ST2, not by state)."""
-    return stream.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(list(key))
+    are handled by the keyed upsert of ST2, not by state).  Watermarks need a
+    zoned timestamp, so a zone-less event time is read in the session zone."""
+    if not _is_ntz(stream, event_time):
+        return stream.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(list(key))
+    et = "__event_time"
+    return (stream.withColumn(et, F.col(event_time).cast("timestamp")).withWatermark(et, watermark)
+                  .dropDuplicatesWithinWatermark(list(key)).drop(et))
 
 
 def hourly_rollup(df: DataFrame, ts: str, by: Sequence[str], value: str, watermark: str | None = "2 hours",
@@ -97,10 +112,15 @@ def hourly_rollup(df: DataFrame, ts: str, by: Sequence[str], value: str, waterma
     """ST4: tumbling-window rollup; late rows within the watermark are still
     counted, the window is emitted once the watermark passes it (append mode).
     Pass ``watermark=None`` for the batch twin (same grouping, no state)."""
-    src = df.withWatermark(ts, watermark) if watermark else df
-    g = src.groupBy(F.window(ts, window).alias("w"), *by).agg(
+    start = F.col("w.start")
+    if watermark:
+        if _is_ntz(df, ts):  # watermarks need a zoned timestamp; results go back to the input type
+            df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+            start = start.cast("timestamp_ntz")
+        df = df.withWatermark(ts, watermark)
+    g = df.groupBy(F.window(ts, window).alias("w"), *by).agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("total_value"))
-    return g.select(F.col("w.start").alias("window_start"), *by, "n", F.round("total_value", 6).alias("total_value"))
+    return g.select(start.alias("window_start"), *by, "n", F.round("total_value", 6).alias("total_value"))
 
 
 def with_submissions(main: DataFrame, submitted: DataFrame, tag: str = "user_input") -> DataFrame:
