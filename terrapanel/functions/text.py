@@ -38,6 +38,11 @@ PII_NAME_SIGNATURES = (
     "passport", "national_id", "home_address", "street_address", "iban",
     "credit_card", "salary", "first_name", "last_name", "given_name", "surname",
 )
+# exact field names that must never appear in a published schema
+PERSONAL_FIELDS = frozenset({
+    "email", "phone", "ssn", "national_id", "date_of_birth", "full_name",
+    "address", "ip_address", "passport", "tax_id",
+})
 # a word that Python's  w[:1].isupper() and w[1:].islower()  accepts
 _PERSON_WORD = r"\p{Lu}[^\p{Lu}\s]*\p{Ll}[^\p{Lu}\s]*"
 PERSON_NAME_RE = rf"^\s*{_PERSON_WORD}\s+{_PERSON_WORD}\s*$"
@@ -96,3 +101,8 @@ def looks_like_person(name: str | Column) -> Column:
 def pii_columns(columns: list[str]) -> list[tuple[str, str]]:
     """D15a (metadata only): (column, signature) pairs that hit a PII name signature."""
     return [(c, s) for c in columns for s in PII_NAME_SIGNATURES if s in c.lower()]
+
+
+def personal_fields(columns: list[str]) -> set[str]:
+    """D16 (metadata only): lower-cased column names that are personal-data fields."""
+    return {c.lower() for c in columns} & PERSONAL_FIELDS

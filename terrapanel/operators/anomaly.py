@@ -152,7 +152,9 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], contamina
     neg = scored.withColumn("__neg", -F.col("score"))
     off = group_quantiles(neg.select("__g", "__neg"), "__g", "__neg", [contamination]).select(
         "__g", F.col("q_0").alias("__offset"))
-    out = neg.join(off, "__g")
+    # one group → exactly one row: broadcast it, so the constant key never
+    # funnels every scored row into a single shuffle partition
+    out = neg.join(F.broadcast(off), "__g")
     return (out.withColumn("anomaly_score", F.col("__neg") - F.col("__offset"))
                .withColumn("is_anomaly", F.col("__neg") < F.col("__offset"))
                .drop("__g", "__neg", "__offset"))

@@ -1,4 +1,4 @@
-"""File sources and sinks.
+"""File sources and sinks (S1, S4-S9, S11, S12, S15; A8 counts on the write).
 
 Raw files are *appended* under ``raw/<dataset>/_run_id=<UTC stamp>``; nothing is
 ever deleted.  "Only the latest pull counts" is a read rule: filter on the
@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 # Fixed value: run stamp format (UTC), e.g. 20240131T235959Z.
@@ -140,6 +140,14 @@ def replace_table(df: DataFrame, table: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).option("overwriteSchema", "true").saveAsTable(table)
 
 
+def write_counted(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> int:
+    """Write and return the row count from an ``Observation`` filled by the
+    write itself (no second scan of the data)."""
+    obs = Observation("write_rows")
+    df.observe(obs, F.count(F.lit(1)).alias("n")).write.format(fmt).mode(mode).save(path)
+    return int(obs.get["n"])
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV export with a header; one part file per task (no single-file funnel)."""
     df.write.mode("overwrite").option("header", True).csv(path)

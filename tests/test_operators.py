@@ -113,3 +113,20 @@ def test_isolation_forest_properties(spark):
     b = isolation_forest(df.repartition(11), "k", ["x", "y"], contamination=0.1, trees=50, psi=128)
     rb = b.select("k", "score").toPandas().set_index("k").sort_index()
     assert np.allclose(ra["score"].to_numpy(), rb["score"].to_numpy())
+
+
+def test_bands_edges_and_nulls(spark):
+    from terrapanel.functions.bands import gauge_band, risk_band, traffic_light
+    rows = [(None,), (3.99,), (4.0,), (6.99,), (7.0,), (7.01,), (40.0,), (69.9,), (70.0,)]
+    df = spark.createDataFrame(rows, "s double")
+    got = df.select("s", risk_band("s", right_closed=False).alias("left"),
+                    risk_band("s").alias("right"), traffic_light("s").alias("light"),
+                    gauge_band("s").alias("gauge")).collect()
+    for r in got:
+        if r.s is None:
+            assert (r.left, r.right, r.light, r.gauge) == (None, None, None, None)
+            continue
+        assert r.left == ("Low" if r.s < 4 else "Medium" if r.s < 7 else "High")
+        assert r.right == ("Low" if r.s <= 4 else "Medium" if r.s <= 7 else "High")
+        assert r.light == ("red" if r.s > 7 else "amber" if r.s > 4 else "green")
+        assert r.gauge == ("low" if r.s < 40 else "medium" if r.s < 70 else "high")

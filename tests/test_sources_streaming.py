@@ -128,3 +128,24 @@ def test_dedupe_within_watermark(spark, tmp_dir):
            .option("checkpointLocation", os.path.join(tmp_dir, "ck_dedupe")).trigger(availableNow=True).start())
     q.awaitTermination()
     assert spark.table("t_dedupe").count() == ev.count()
+
+
+def test_write_counted_matches_rows(spark, tmp_dir):
+    df = spark.range(0, 1234, numPartitions=5).withColumnRenamed("id", "k")
+    n = FS.write_counted(df, os.path.join(tmp_dir, "counted"))
+    assert n == 1234 == spark.read.parquet(os.path.join(tmp_dir, "counted")).count()
+
+
+def test_no_personal_data_in_published_schemas(spark):
+    from terrapanel.functions.text import personal_fields, pii_columns
+    from terrapanel.plans.catalog import load_all
+    from terrapanel.registry import DATASETS
+
+    for ds in DATASETS.values():
+        assert not personal_fields(list(ds.columns)), ds.name
+        assert not pii_columns(list(ds.columns)), ds.name
+    # every registered result schema is free of exact personal-data field names
+    for name, q in load_all().items():
+        assert not personal_fields(q.fn(spark, SF_SMALL).columns), name
+    assert personal_fields(["Email", "year"]) == {"email"}
+    assert pii_columns(["contact_email"]) == [("contact_email", "email")]
