@@ -78,11 +78,13 @@ def _grow(tree: int, x: np.ndarray, seed: int, max_depth: int) -> list[tuple]:
 
 
 def fit_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 100, psi: int = 256,
-               seed: int = 42) -> DataFrame:
-    """Node table of an isolation forest over ``features`` (rows with a null feature skipped)."""
+               seed: int = 42, n: int | None = None) -> DataFrame:
+    """Node table of an isolation forest over ``features`` (rows with a null feature skipped).
+    ``n`` is the row count after the null drop, when the caller already has it."""
     feats = list(features)
     data = df.select(key, *feats).na.drop(subset=feats)
-    n = data.count()  # one scalar action: the sampling rate needs the row count
+    if n is None:
+        n = data.count()  # one scalar action: the sampling rate needs the row count
     psi = int(min(psi, max(n, 1)))
     f = psi / max(n, 1)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -106,11 +108,11 @@ def fit_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 10
     return tagged.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
-def score_forest(df: DataFrame, nodes: DataFrame, features: Sequence[str], psi: int) -> DataFrame:
+def score_forest(df: DataFrame, nodes: DataFrame | pd.DataFrame, features: Sequence[str], psi: int) -> DataFrame:
     """Adds ``score`` = 2^(-E[h(x)] / c(psi)) (higher = more anomalous)."""
     feats = list(features)
     # the model is bounded by trees * (2 psi - 1) rows; it travels to the tasks like a broadcast
-    model = nodes.orderBy("tree", "node").toPandas()
+    model = nodes if isinstance(nodes, pd.DataFrame) else nodes.orderBy("tree", "node").toPandas()
     tree_ids = sorted(model["tree"].unique())
     arrays = []
     for t in tree_ids:
@@ -143,18 +145,18 @@ def score_forest(df: DataFrame, nodes: DataFrame, features: Sequence[str], psi:
 def isolation_forest(df: DataFrame, key: str, features: Sequence[str], contamination: float = 0.1,
                      trees: int = 100, psi: int = 256, seed: int = 42) -> DataFrame:
     """Rows with ``score``, ``anomaly_score`` (= -score - offset; negative means
-    anomalous) and ``is_anomaly`` (lowest ``contamination`` share of -score)."""
+    anomalous) and ``is_anomaly`` (lowest ``contamination`` share of -score).
+
+    Three scalar-sized actions run here: the row count, the fitted model
+    (bounded node table) and the threshold (one number, computed exactly over
+    the distributed scores); the returned frame is then one scoring pass."""
     feats = list(features)
     data = df.na.drop(subset=feats)
-    nodes = fit_forest(data, key, feats, trees, psi, seed)
-    n_psi = int(min(psi, max(data.count(), 1)))
-    scored = score_forest(data, nodes, feats, n_psi).withColumn("__g", F.lit(0))
-    neg = scored.withColumn("__neg", -F.col("score"))
-    off = group_quantiles(neg.select("__g", "__neg"), "__g", "__neg", [contamination]).select(
-        "__g", F.col("q_0").alias("__offset"))
-    # one group → exactly one row: broadcast it, so the constant key never
-    # funnels every scored row into a single shuffle partition
-    out = neg.join(F.broadcast(off), "__g")
-    return (out.withColumn("anomaly_score", F.col("__neg") - F.col("__offset"))
-               .withColumn("is_anomaly", F.col("__neg") < F.col("__offset"))
-               .drop("__g", "__neg", "__offset"))
+    n = data.count()
+    model = fit_forest(data, key, feats, trees, psi, seed, n=n).orderBy("tree", "node").toPandas()
+    scored = score_forest(data, model, feats, int(min(psi, max(n, 1))))
+    neg = scored.select(F.lit(0).alias("__g"), (-F.col("score")).alias("__neg"))
+    offset = group_quantiles(neg, "__g", "__neg", [contamination]).first()["q_0"]
+    off = F.lit(offset).cast("double")
+    return (scored.withColumn("anomaly_score", -F.col("score") - off)
+                  .withColumn("is_anomaly", F.coalesce(-F.col("score") < off, F.lit(False))))
