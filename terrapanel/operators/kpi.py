@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from terrapanel.operators.rank import group_percent_rank, group_quantiles
 from terrapanel.operators.window import latest_rows
@@ -56,18 +56,19 @@ def sum_by(df: DataFrame, by: str | Sequence[str], measures: Sequence[str], stri
 # -- A4: waterfall (per-measure totals, running base, grand total) -----------------------------------
 def waterfall(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     """One row per measure (step 1..k) with its total and running base, plus a
-    ``total`` row (step k+1).  The k totals come from one global aggregate."""
-    totals = df.agg(*[F.sum(F.col(m).cast("decimal(38,6)")).alias(m) for m in measures])
-    long = totals.unpivot([], list(measures), "measure", "amount")
-    steps = F.create_map(*[x for i, m in enumerate(measures) for x in (F.lit(m), F.lit(i + 1))])
-    long = long.withColumn("step", steps[F.col("measure")])
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    parts = long.withColumn("base", F.coalesce(F.sum("amount").over(w), F.lit(0).cast("decimal(38,6)")))
-    total = totals.select(F.lit("total").alias("measure"),
-                          sum((F.col(m) for m in measures[1:]), F.col(measures[0])).alias("amount"),
-                          F.lit(len(measures) + 1).alias("step"),
-                          F.lit(0).cast("decimal(38,6)").alias("base"))
-    out = parts.unionByName(total)
+    ``total`` row (step k+1).  The k totals come from one global aggregate (map-side
+    partial sums, one row per task exchanged); the running bases are sums of the
+    earlier totals within that one row, so no window runs at all."""
+    dec = "decimal(38,6)"
+    totals = df.agg(*[F.sum(F.col(m).cast(dec)).alias(m) for m in measures])
+    zero = F.lit(0).cast(dec)
+    steps = [F.struct(F.lit(i + 1).alias("step"), F.lit(m).alias("measure"), F.col(m).alias("amount"),
+                      sum((F.col(x) for x in measures[:i]), zero).alias("base"))
+             for i, m in enumerate(measures)]
+    grand = sum((F.col(m) for m in measures[1:]), F.col(measures[0]))
+    steps.append(F.struct(F.lit(len(measures) + 1).alias("step"), F.lit("total").alias("measure"),
+                          grand.alias("amount"), zero.alias("base")))
+    out = totals.select(F.inline(F.array(*steps)))
     return out.select("step", "measure", F.col("amount").cast("double").alias("amount"),
                       F.col("base").cast("double").alias("base"))
 

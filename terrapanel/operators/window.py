@@ -127,7 +127,12 @@ def ring_layout(df: DataFrame, entity: str, member: str, radius: float = 1.3) ->
 # -- W8: running stack --------------------------------------------------------------------------
 def running_sum(df: DataFrame, value: str, order_by: str | Sequence[str], partition_by: Sequence[str] = (),
                 name: str = "running") -> DataFrame:
-    w = (Window.partitionBy(*partition_by) if partition_by else Window.partitionBy()).orderBy(*_cols(order_by))
+    """Running sum of ``value`` in ``order_by`` order within each ``partition_by``
+    group.  A partition key is required: a window without one runs in a single
+    task over all rows."""
+    if not partition_by:
+        raise ValueError("running_sum needs partition_by; an unpartitioned window is one task")
+    w = Window.partitionBy(*partition_by).orderBy(*_cols(order_by))
     return df.withColumn(name, F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from terrapanel.plans import views as V
-from terrapanel.sources.tables import Tables
+from terrapanel.sources.tables import Tables, materialize
 
 
 @dataclass
@@ -42,15 +42,34 @@ def query(name: str, operators: tuple[str, ...] | str, sql: str | None = None, v
 
 
 class Ctx:
-    """Tables and driver views of one data folder (all lazy)."""
-
-    def __init__(self, spark: SparkSession, root: str):
+    """Tables and driver views of one data folder.
+
+    ``panel`` and ``firms`` aggregate ``orders`` (the large table) down to a
+    small result; a query touches them several times (self-joins, the sampling
+    pass of a range shuffle, model fit then scoring), so each is written once
+    per query to the shared checkpoint folder on first use and read back after
+    (``materialize``) when the query asks for ``shared=True``.  A query that
+    reads a view once keeps it lazy, so its filters still reach the base scans
+    through the view.  ``sites`` is a narrow projection of ``supplier``: a copy
+    would cost as much as the scan, so it always stays lazy.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, shared: bool = False):
         self.spark = spark
         self.t = Tables(spark, root)
+        self.shared = shared
+        self._views: dict[str, DataFrame] = {}
+
+    def _view(self, name: str, build) -> DataFrame:
+        if not self.shared:
+            return build(self.t)
+        if name not in self._views:
+            self._views[name] = materialize(build(self.t), f"view_{name}")
+        return self._views[name]
 
     @property
     def panel(self) -> DataFrame:
-        return V.panel(self.t)
+        return self._view("panel", V.panel)
 
     @property
     def sites(self) -> DataFrame:
@@ -58,7 +77,7 @@ class Ctx:
 
     @property
     def firms(self) -> DataFrame:
-        return V.firms(self.t)
+        return self._view("firms", V.firms)
 
 
 def load_all() -> dict[str, Query]:

@@ -7,6 +7,7 @@ columns and pushes filters into each scan.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,22 @@ class Tables:
 
 def tables(spark: SparkSession, root: str) -> Tables:
     return Tables(spark, root)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as a parquet table under the shared checkpoint folder and
+    return a DataFrame over the written files.
+
+    Used for derived views that are small next to their inputs (aggregates of
+    ``orders``) and that a query consumes more than once: every later use reads
+    the written table instead of re-scanning and re-shuffling the base tables,
+    the lineage is cut (a lost executor re-reads files, not the whole upstream
+    plan), and AQE plans the consumers on the table's real size.  One write job;
+    ``DataFrame.checkpoint`` would compute the plan twice without a cache.
+    """
+    from terrapanel.session import checkpoint_dir
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

@@ -51,3 +51,30 @@ def test_dedupe_is_an_aggregate_not_a_window(spark):
 def test_view_aggregate_has_partial_and_final(spark):
     p = plan(QUERIES["panel_kpi"].fn(spark, SF_SMALL))
     assert "partial_sum" in p and p.count("Exchange") >= 1
+
+
+def test_shared_view_is_written_once_to_the_checkpoint_folder(spark):
+    from terrapanel.plans.catalog import Ctx
+
+    c = Ctx(spark, SF_SMALL, shared=True)
+    assert c.panel is c.panel
+    p = plan(QUERIES["country_summary"].fn(spark, SF_SMALL))
+    # the panel aggregate is read back from the shared folder, orders is not re-scanned
+    assert "orders.parquet" not in p
+    assert spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/tables/view_panel-" in p
+
+
+def test_single_use_view_stays_lazy(spark):
+    p = plan(QUERIES["sector_benchmark"].fn(spark, SF_SMALL))
+    # only customer-side columns are used: the orders aggregate is pruned away
+    assert "orders.parquet" not in p and "customer.parquet" in p
+
+
+def test_no_unpartitioned_running_window(spark):
+    from terrapanel.operators.window import running_sum
+
+    df = spark.range(3).withColumnRenamed("id", "v")
+    with pytest.raises(ValueError):
+        running_sum(df, "v", "v")
+    p = plan(QUERIES["scope_waterfall"].fn(spark, SF_SMALL))
+    assert "Window" not in p
