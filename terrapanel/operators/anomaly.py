@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from terrapanel.operators.rank import group_quantiles
+from terrapanel.sources.tables import materialize
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left_child int, right_child int, "
@@ -149,12 +150,14 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], contamina
 
     Three scalar-sized actions run here: the row count, the fitted model
     (bounded node table) and the threshold (one number, computed exactly over
-    the distributed scores); the returned frame is then one scoring pass."""
+    the distributed scores).  The scoring pass (Python, 100 tree walks per row)
+    runs once: its output is written to the shared checkpoint folder, and both
+    the threshold and the returned frame read that table."""
     feats = list(features)
     data = df.na.drop(subset=feats)
     n = data.count()
     model = fit_forest(data, key, feats, trees, psi, seed, n=n).orderBy("tree", "node").toPandas()
-    scored = score_forest(data, model, feats, int(min(psi, max(n, 1))))
+    scored = materialize(score_forest(data, model, feats, int(min(psi, max(n, 1)))), "iforest_scores")
     neg = scored.select(F.lit(0).alias("__g"), (-F.col("score")).alias("__neg"))
     offset = group_quantiles(neg, "__g", "__neg", [contamination]).first()["q_0"]
     off = F.lit(offset).cast("double")
