@@ -10,6 +10,7 @@ of periods of one series.  Horizons and scenarios are generated with
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -97,13 +98,15 @@ X_ORIGIN = 2000  # the time axis is centred here: same fit, better conditioned s
 T_TABLE_MAX_DF = 200  # a series is at most 1990..2100, i.e. df <= 109
 
 
-def t_values(max_df: int = T_TABLE_MAX_DF, p: float = 0.975) -> list[tuple[int, float]]:
-    return [(k, round(t_quantile(p, k), 9)) for k in range(1, max_df + 1)]
+@functools.lru_cache(maxsize=None)
+def t_values(max_df: int = T_TABLE_MAX_DF, p: float = 0.975) -> tuple[tuple[int, float], ...]:
+    """Computed once per process (a pure function of its two parameters)."""
+    return tuple((k, round(t_quantile(p, k), 9)) for k in range(1, max_df + 1))
 
 
 def t_table(spark: SparkSession, max_df: int = T_TABLE_MAX_DF) -> DataFrame:
     """(dof, t975) for dof 1..max_df: a fixed, bounded table (safe to broadcast)."""
-    return spark.createDataFrame(t_values(max_df), "dof int, t975 double")
+    return spark.createDataFrame(list(t_values(max_df)), "dof int, t975 double")
 
 
 # -- series helpers ----------------------------------------------------------------------------

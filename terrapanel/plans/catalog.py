@@ -48,20 +48,22 @@ class Ctx:
     small result; a query touches them several times (self-joins, the sampling
     pass of a range shuffle, model fit then scoring), so each is written once
     per query to the shared checkpoint folder on first use and read back after
-    (``materialize``) when the query asks for ``shared=True``.  A query that
+    (``materialize``) when the query names it in ``shared``.  A query that
     reads a view once keeps it lazy, so its filters still reach the base scans
-    through the view.  ``sites`` is a narrow projection of ``supplier``: a copy
+    through the view, and columns it does not use are pruned away (a query that
+    needs only customer-side columns of ``firms`` never touches ``orders``).  ``sites`` is a narrow projection of ``supplier``: a copy
     would cost as much as the scan, so it always stays lazy.
     """
 
-    def __init__(self, spark: SparkSession, root: str, shared: bool = False):
+    def __init__(self, spark: SparkSession, root: str, shared: bool | tuple[str, ...] = False):
         self.spark = spark
         self.t = Tables(spark, root)
-        self.shared = shared
+        # True: both aggregated views; a tuple: only the named ones
+        self.shared = ("panel", "firms") if shared is True else tuple(shared or ())
         self._views: dict[str, DataFrame] = {}
 
     def _view(self, name: str, build) -> DataFrame:
-        if not self.shared:
+        if name not in self.shared:
             return build(self.t)
         if name not in self._views:
             self._views[name] = materialize(build(self.t), f"view_{name}")

@@ -23,7 +23,7 @@ FROM panel JOIN latest ON period = p JOIN r USING (entity) JOIN f USING (entity)
 
 @query("country_summary", ("J2", "A1", "A2", "W5", "S10"), FLAGSHIP_SQL)
 def country_summary(spark, d):
-    c = Ctx(spark, d, shared=True)
+    c = Ctx(spark, d, shared=("panel",))
     return K.country_summary(c.panel, c.sites, c.firms, latest="global")
 
 
@@ -37,7 +37,7 @@ FROM panel JOIN latest ON panel.entity = latest.entity AND period = p
      JOIN r ON r.entity = panel.entity JOIN f ON f.entity = panel.entity
 """)
 def country_summary_own_latest(spark, d):
-    c = Ctx(spark, d, shared=True)
+    c = Ctx(spark, d, shared=("panel",))
     return K.country_summary(c.panel, c.sites, c.firms, latest="per_entity")
 
 
@@ -76,7 +76,7 @@ SELECT entity, period, level_mt, share_a_pct, share_b_pct, share_c_pct, volume F
 
 @query("panel_clean", ("P4", "P5", "P6", "P9", "P19", "W1", "A16"), CLEAN_PANEL_SQL)
 def panel_clean(spark, d):
-    raw = raw_panel(Ctx(spark, d, shared=True).panel)
+    raw = raw_panel(Ctx(spark, d, shared=("panel",)).panel)
     return C.clean(raw, PANEL, numeric_text={"level_txt": "level_mt"})
 
 
@@ -95,7 +95,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY _batch D
 SELECT entity, period, level_mt, share_a_pct, share_b_pct, share_c_pct, volume FROM r WHERE rn = 1
 """)
 def panel_clean_silver(spark, d):
-    raw = raw_panel(Ctx(spark, d, shared=True).panel)
+    raw = raw_panel(Ctx(spark, d, shared=("panel",)).panel)
     return C.clean(raw, PANEL, numeric_text={"level_txt": "level_mt"}, null_as_lower=True,
                    dropna=("entity", "period", "level_mt"))
 
@@ -138,7 +138,7 @@ FROM l
 UNION ALL SELECT 4, 'total', CAST(s1 + s2 + s3 AS DOUBLE), 0.0 FROM t
 """)
 def scope_waterfall(spark, d):
-    return K.waterfall(Ctx(spark, d, shared=True).firms, ["scope1", "scope2", "scope3"])
+    return K.waterfall(Ctx(spark, d).firms, ["scope1", "scope2", "scope3"])
 
 
 @query("scope_treemap", ("A5", "U3"), """
@@ -183,7 +183,7 @@ SELECT 'share_a_pct', CAST(share_a_pct AS BIGINT), round(share_a_pct / n, 6) FRO
 SELECT 'share_b_pct', CAST(share_b_pct AS BIGINT), round(share_b_pct / n, 6) FROM a
 """)
 def null_profile(spark, d):
-    raw = raw_panel(Ctx(spark, d, shared=True).panel).select(
+    raw = raw_panel(Ctx(spark, d, shared=("panel",)).panel).select(
         "entity", "period", F.expr("try_cast(level_txt as double)").alias("level_mt"), "share_a_pct", "share_b_pct")
     return K.null_profile(raw)
 
@@ -244,7 +244,7 @@ SELECT f.sector, round(mn, 6) AS "min", round(q1, 6) AS q1, round(median, 6) AS
 FROM f JOIN t ON t.sector = f.sector GROUP BY f.sector, mn, q1, median, q3, mx, lf, uf
 """)
 def sector_box(spark, d):
-    f = Ctx(spark, d, shared=True).firms.select("sector", (F.col("scope1") + F.col("scope2") + F.col("scope3")).alias("total"))
+    f = Ctx(spark, d, shared=("firms",)).firms.select("sector", (F.col("scope1") + F.col("scope2") + F.col("scope3")).alias("total"))
     return K.box_summary(f, "sector", "total")
 
 
@@ -273,4 +273,4 @@ def sector_benchmark(spark, d):
 SELECT entity, period, level_mt FROM panel WHERE period = (SELECT max(period) FROM panel)
 """)
 def latest_rows_global(spark, d):
-    return latest_rows(Ctx(spark, d, shared=True).panel, "period").select("entity", "period", "level_mt")
+    return latest_rows(Ctx(spark, d, shared=("panel",)).panel, "period").select("entity", "period", "level_mt")

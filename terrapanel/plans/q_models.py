@@ -39,7 +39,7 @@ WITH {READY_SQL}
 SELECT firm_id, y AS readiness_score, is_test, round(predicted, 6) AS predicted FROM p
 """)
 def readiness_scored(spark, d):
-    p, _ = _ready(Ctx(spark, d, shared=True))
+    p, _ = _ready(Ctx(spark, d, shared=("firms",)))
     return p.select("firm_id", F.col("y").alias("readiness_score"), "is_test", F.round("predicted", 6).alias("predicted"))
 
 
@@ -51,7 +51,7 @@ SELECT count(*) AS n, round(avg(abs(err)), 6) AS mae, round(sqrt(avg(err * err))
 FROM e
 """)
 def readiness_eval(spark, d):
-    p, _ = _ready(Ctx(spark, d, shared=True))
+    p, _ = _ready(Ctx(spark, d, shared=("firms",)))
     return S.metrics(p.where(F.col("is_test")), "y", "predicted")
 
 
@@ -84,11 +84,11 @@ def _forest(c: Ctx):
 
 @query("isolation_forest", ("M14",))
 def isolation_forest_q(spark, d):
-    r = _forest(Ctx(spark, d, shared=True))
+    r = _forest(Ctx(spark, d, shared=("panel",)))
     return r.select("entity", "period", *FEATS, F.round("score", 6).alias("score"),
                     F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
 
 
 @query("anomaly_flagged", ("M15",))
 def anomaly_flagged(spark, d):
-    return _forest(Ctx(spark, d, shared=True)).where("is_anomaly").select("entity", "period", *FEATS)
+    return _forest(Ctx(spark, d, shared=("panel",))).where("is_anomaly").select("entity", "period", *FEATS)

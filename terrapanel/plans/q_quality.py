@@ -84,7 +84,7 @@ SELECT 'panel' AS dataset, count(*) AS "rows",
 FROM b
 """)
 def key_null_gate(spark, d):
-    raw = raw_panel(Ctx(spark, d, shared=True).panel)
+    raw = raw_panel(Ctx(spark, d, shared=("panel",)).panel)
     k = F.col("period") * 7 + F.length("entity")
     raw = raw.withColumn("entity", F.when((F.col("_batch") == 1) & (k % 2 == 0), F.lit(None)).otherwise(F.col("entity")))
     return Q.key_null_gate(raw.select("entity", "period"), PANEL)
@@ -118,7 +118,7 @@ FROM r"""
 WITH {_rules_sql('panel')}
 """)
 def dq_rules_panel(spark, d):
-    c = Ctx(spark, d, shared=True)
+    c = Ctx(spark, d, shared=("panel",))
     return Q.rule_table(c.panel, PANEL, AS_OF_YEAR, expected=c.t.nation.select("n_name"))
 
 
@@ -129,7 +129,7 @@ b AS (SELECT upper(regexp_replace(entity, '^\\s+|\\s+$', '', 'g')) AS entity, pe
 {_rules_sql('b')}
 """)
 def dq_rules_raw(spark, d):
-    c = Ctx(spark, d, shared=True)
+    c = Ctx(spark, d, shared=("panel",))
     raw = raw_panel(c.panel).select(code("entity").alias("entity"), "period",
                                     F.expr("try_cast(level_txt as double)").alias("level_mt"),
                                     "share_a_pct", "share_b_pct", "share_c_pct", "volume")
@@ -163,7 +163,7 @@ SELECT 'firms' AS dataset, rule, round(observed, 6) AS observed, CAST(threshold
 FROM r
 """)
 def dq_rules_firms(spark, d):
-    c = Ctx(spark, d, shared=True)
+    c = Ctx(spark, d, shared=("firms",))
     return Q.rule_table(c.firms, FIRMS, AS_OF_YEAR, parent_codes=c.panel.select("entity"))
 
 
@@ -173,7 +173,7 @@ SELECT upper(regexp_replace(entity, '^\\s+|\\s+$', '', 'g')) AS entity, period,
 FROM raw_panel GROUP BY 1, 2 HAVING count(*) > 1
 """)
 def duplicate_keys(spark, d):
-    raw = raw_panel(Ctx(spark, d, shared=True).panel).select(code("entity").alias("entity"), "period")
+    raw = raw_panel(Ctx(spark, d, shared=("panel",)).panel).select(code("entity").alias("entity"), "period")
     return Q.duplicate_rows(raw, ["entity", "period"])
 
 
@@ -198,7 +198,7 @@ SELECT entity, period, "column", previous_value, new_value, round(rc, 3) AS rela
        CAST(0.15 AS DOUBLE) AS tolerance FROM flagged
 """)
 def reconcile_anomalies(spark, d):
-    return R.anomalies(_compared(Ctx(spark, d, shared=True)), PANEL)
+    return R.anomalies(_compared(Ctx(spark, d, shared=("panel",))), PANEL)
 
 
 @query("reconcile_summary", ("A15", "V3"), f"""
@@ -208,7 +208,7 @@ SELECT 'panel' AS dataset, (SELECT count(*) FROM j) AS rows_compared, (SELECT co
        (SELECT count(*) FROM flagged) = 0 AS clean
 """)
 def reconcile_summary(spark, d):
-    return R.summary(_compared(Ctx(spark, d, shared=True)), PANEL)
+    return R.summary(_compared(Ctx(spark, d, shared=("panel",))), PANEL)
 
 
 @query("reconcile_safe_rows", ("J5", "V3"), f"""
@@ -216,7 +216,7 @@ WITH {RECON_SQL}
 SELECT p.* FROM panel p WHERE NOT EXISTS (SELECT 1 FROM flagged f WHERE f.entity = p.entity AND f.period = p.period)
 """)
 def reconcile_safe_rows(spark, d):
-    return R.safe_rows(_compared(Ctx(spark, d, shared=True)))
+    return R.safe_rows(_compared(Ctx(spark, d, shared=("panel",))))
 
 
 @query("publish_keep_previous", ("V4", "S13"), f"""
@@ -227,7 +227,7 @@ UNION ALL
 SELECT q.* FROM previous_panel q WHERE EXISTS (SELECT 1 FROM fk WHERE fk.entity = q.entity AND fk.period = q.period)
 """)
 def publish_keep_previous(spark, d):
-    c = Ctx(spark, d, shared=True)
+    c = Ctx(spark, d, shared=("panel",))
     prev = previous_panel(c.panel)
     return R.promote(R.compare(c.panel, prev, PANEL), prev, PANEL, on_flag="keep_previous")
 

@@ -36,7 +36,7 @@ SELECT entity, period, 'share_b_pct', share_b_pct, 'generation' FROM lt UNION AL
 SELECT entity, period, 'share_c_pct', share_c_pct, 'generation' FROM lt
 """)
 def sankey_edges(spark, d):
-    lt = latest_rows(Ctx(spark, d, shared=True).panel, "period")
+    lt = latest_rows(Ctx(spark, d, shared=("panel",)).panel, "period")
     return S.sankey(lt, ["entity", "period"], ["share_a_pct", "share_b_pct", "share_c_pct"], "generation")
 
 

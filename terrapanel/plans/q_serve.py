@@ -96,7 +96,7 @@ SELECT m.country_code, CAST(year AS INT) AS year, co2 AS co2_emissions_mt, co2_p
 FROM j JOIN m ON m.iso_code = j.iso_code
 """)
 def conformed_sources(spark, d):
-    p = Ctx(spark, d, shared=True).panel
+    p = Ctx(spark, d, shared=("panel",)).panel
     a = p.select(F.col("entity").alias("iso_code"), F.col("period").alias("year"), F.col("level_mt").alias("co2"),
                  (F.col("level_mt") / 10).alias("co2_per_capita"))
     b = p.select(F.col("entity").alias("iso_code"), F.col("period").alias("year"),
@@ -125,5 +125,5 @@ SELECT TRY_CAST(entity AS VARCHAR) AS entity, TRY_CAST(period AS INT) AS period,
 FROM raw_panel
 """)
 def schema_conform(spark, d):
-    raw = raw_panel(Ctx(spark, d, shared=True).panel)
+    raw = raw_panel(Ctx(spark, d, shared=("panel",)).panel)
     return Q.conform(raw, PANEL_SCHEMA)

@@ -93,7 +93,7 @@ FROM flagged
 """)
 def anomaly_sentences(spark, d):
     from terrapanel.operators import reconcile as R
-    a = R.anomalies(q_quality._compared(Ctx(spark, d, shared=True)), q_quality.PANEL)
+    a = R.anomalies(q_quality._compared(Ctx(spark, d, shared=("panel",))), q_quality.PANEL)
     return a.select("entity", "period", "column",
                     X.anomaly_sentence(F.col("relative_change"), F.col("column")).alias("sentence_en"),
                     X.anomaly_sentence(F.col("relative_change"), F.col("column"), "de").alias("sentence_de"))
@@ -150,7 +150,7 @@ SELECT entity, metric, 'de',
 FROM b
 """)
 def insight_bundles(spark, d):
-    long = T.long_panel(Ctx(spark, d, shared=True).panel, "entity", "period", MEASURES)
+    long = T.long_panel(Ctx(spark, d, shared=("panel",)).panel, "entity", "period", MEASURES)
     w = Window.partitionBy("entity", "metric").orderBy("period")
     prev = F.lag("value").over(w)
     lp = (long.withColumn("pct", F.try_divide(F.col("value") - prev, prev) * F.lit(100.0))
@@ -202,7 +202,7 @@ SELECT entity, metric,
 FROM r
 """)
 def forecast_sentences(spark, d):
-    c = Ctx(spark, d, shared=True)
+    c = Ctx(spark, d, shared=("panel",))
     long = T.long_panel(c.panel, "entity", "period", MEASURES)
     dr = T.direction(long, T.forecast_ci(long, "entity", "period", 5), "entity", "period")
     dr = dr.withColumn("key", metric_key_expr("metric", METRIC_TITLE))
@@ -246,7 +246,7 @@ s AS (SELECT entity, 'Current position: ' || {PYSTR('level_mt')} || ' Mt CO2, '
 SELECT s.entity, s.answer AS headline, grounded, n_unmatched, unmatched, warning FROM s JOIN gr ON gr.entity = s.entity
 """)
 def kpi_headlines(spark, d):
-    lt = latest_rows(Ctx(spark, d, shared=True).panel, "period", "entity", mode="per_entity")
+    lt = latest_rows(Ctx(spark, d, shared=("panel",)).panel, "period", "entity", mode="per_entity")
     answer = X.kpi_headline(F.col("level_mt"), F.col("share_a_pct"))
     context = json_sorted({"co2_emissions_mt": "level_mt", "renewable_share_pct": "share_a_pct"},
                           floats={"co2_emissions_mt", "renewable_share_pct"})

@@ -234,7 +234,7 @@ SELECT lf.entity, lf.metric, target_period, CASE WHEN last_forecast > last_actua
 FROM lf JOIN la ON la.entity = lf.entity AND la.metric = lf.metric
 """)
 def direction_badge(spark, d):
-    c = Ctx(spark, d, shared=True)
+    c = Ctx(spark, d, shared=("panel",))
     long = T.long_panel(c.panel, "entity", "period", MEASURES)
     return T.direction(long, T.forecast_ci(long, "entity", "period", 5), "entity", "period")
 
@@ -282,7 +282,7 @@ SELECT entity, period, round(level_pct, 6) AS level_pct, round(level_diff, 6) AS
        round(share_a_diff, 6) AS share_a_diff FROM feat
 """)
 def change_features(spark, d):
-    f = _features(Ctx(spark, d, shared=True))
+    f = _features(Ctx(spark, d, shared=("panel",)))
     return f.select("entity", "period", *[F.round(c, 6).alias(c) for c in ("level_pct", "level_diff", "share_a_diff")])
 
 
@@ -296,7 +296,7 @@ SELECT entity, period, round(level_pct, 6) AS level_pct, round(rz, 6) AS robust_
 """)
 def robust_anomaly(spark, d):
     from terrapanel.operators.anomaly import robust_z
-    f = _features(Ctx(spark, d, shared=True)).select("entity", "period", "level_pct")
+    f = _features(Ctx(spark, d, shared=("panel",))).select("entity", "period", "level_pct")
     z = robust_z(f, "entity", "level_pct")
     return z.select("entity", "period", F.round("level_pct", 6).alias("level_pct"),
                     F.round("robust_z", 6).alias("robust_z"), "is_anomaly")

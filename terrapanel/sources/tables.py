@@ -10,6 +10,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from terrapanel.session import checkpoint_dir
 
@@ -17,6 +18,12 @@ TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Schema of each base table, read from the footer once per process: with a
+# schema given, ``spark.read`` skips the inference job it otherwise runs on
+# every call (the input tables are read-only).
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Tables:
     """``Tables(spark, dir).orders`` → DataFrame over ``dir/orders.parquet``."""
 
@@ -30,7 +37,13 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise KeyError(name)
-        return self.spark.read.parquet(self.path(name))
+        path = self.path(name)
+        schema = _SCHEMAS.get(path)
+        if schema is None:
+            df = self.spark.read.parquet(path)
+            _SCHEMAS[path] = df.schema
+            return df
+        return self.spark.read.schema(schema).parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
@@ -56,4 +69,4 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
