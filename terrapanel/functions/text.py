@@ -52,6 +52,19 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def email_count(text: str | Column) -> Column:
+    """Number of email-shaped matches.  Every match contains a literal ``@``, so
+    texts without one skip the regex (a plain substring test): the pattern's
+    leading character class otherwise restarts at every position of every word."""
+    t = _c(text)
+    return F.when(t.contains("@"), F.regexp_count(t, F.lit(EMAIL_RE))).otherwise(F.lit(0))
+
+
+def has_email(text: str | Column) -> Column:
+    t = _c(text)
+    return t.contains("@") & t.rlike(EMAIL_RE)
+
+
 def fixed(x: str | Column, digits: int) -> Column:
     """Python ``f"{x:.{digits}f}"`` (half-even on the exact binary value)."""
     return F.regexp_replace(F.format_number(_c(x), digits), ",", "")

@@ -6,7 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from terrapanel.functions.bands import risk_band
 from terrapanel.functions.labels import METRIC_LABEL, METRIC_TITLE, label_rows, lookup, metric_key_expr
-from terrapanel.functions.text import EMAIL_RE, IBAN_RE, PERSON_NAME_RE, REPLACEMENT_CHAR, json_sorted, looks_like_person
+from terrapanel.functions.text import (EMAIL_RE, IBAN_RE, PERSON_NAME_RE, REPLACEMENT_CHAR, email_count, has_email,
+                                       json_sorted, looks_like_person)
 from terrapanel.operators import text as X
 from terrapanel.operators import trend as T
 from terrapanel.operators.window import latest_rows
@@ -278,7 +279,7 @@ FROM documents
 """)
 def pii_scan(spark, d):
     docs = Ctx(spark, d).t.documents
-    return docs.select("doc_id", "source", F.regexp_count("text", F.lit(EMAIL_RE)).cast("int").alias("n_email"),
+    return docs.select("doc_id", "source", email_count("text").cast("int").alias("n_email"),
                        F.regexp_count("text", F.lit(IBAN_RE)).cast("int").alias("n_iban"))
 
 
@@ -292,7 +293,7 @@ def pii_summary(spark, d):
     docs = Ctx(spark, d).t.documents
     return docs.groupBy("source").agg(
         F.count(F.lit(1)).alias("docs"),
-        F.sum(F.col("text").rlike(EMAIL_RE).cast("long")).alias("docs_with_email"),
+        F.sum(has_email("text").cast("long")).alias("docs_with_email"),
         F.sum(F.col("text").rlike(IBAN_RE).cast("long")).alias("docs_with_iban"))
 
 

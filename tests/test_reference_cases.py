@@ -229,3 +229,19 @@ def test_label_lookup_fallbacks(spark):
     assert got[("kpi_co2", "de")] == "CO2-Emissionen (Mt)"
     assert got[("kpi_co2", "fr")] == "CO2 Emissions (Mt)"
     assert got[("tab_x", "de")] == "tab_x"
+
+
+def test_email_guard_matches_plain_regex(spark):
+    import re
+
+    from terrapanel.functions.text import EMAIL_RE, IBAN_RE, email_count, has_email
+
+    texts = ["no pii here", "mail a.b@x.org and c@d.co now", "@ alone", "x@y", "DE89370400440532013000 is an IBAN",
+             "two: p@q.de,r@s.com", "", "weird @@a.b.cc"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = df.select("id", email_count("text").alias("n"), has_email("text").alias("h"),
+                    F.regexp_count("text", F.lit(IBAN_RE)).alias("iban")).orderBy("id").collect()
+    for r, t in zip(got, texts):
+        assert r.n == len(re.findall(EMAIL_RE, t)), t
+        assert r.h == bool(re.search(EMAIL_RE, t)), t
+        assert r.iban == len(re.findall(IBAN_RE, t)), t
