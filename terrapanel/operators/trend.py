@@ -87,9 +87,12 @@ def t_quantile(p: float, dof: int) -> float:
     for _ in range(200):
         mid = (lo + hi) / 2
         if t_cdf(mid, dof) < p:
-            lo = mid
+            new = (mid, hi)
         else:
-            hi = mid
+            new = (lo, mid)
+        if new == (lo, hi):  # one ulp apart: every later step repeats this one
+            break
+        lo, hi = new
     return (lo + hi) / 2
 
 
