@@ -109,11 +109,18 @@ def fit_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 10
     return tagged.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
+def _collect_model(nodes: DataFrame) -> pd.DataFrame:
+    """The node table, at most ``trees * (2 psi - 1)`` rows (a bound set by the
+    parameters), sorted on the driver: a distributed sort would add a sampling
+    job and a shuffle for a table of fixed size."""
+    return nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
+
+
 def score_forest(df: DataFrame, nodes: DataFrame | pd.DataFrame, features: Sequence[str], psi: int) -> DataFrame:
     """Adds ``score`` = 2^(-E[h(x)] / c(psi)) (higher = more anomalous)."""
     feats = list(features)
     # the model is bounded by trees * (2 psi - 1) rows; it travels to the tasks like a broadcast
-    model = nodes if isinstance(nodes, pd.DataFrame) else nodes.orderBy("tree", "node").toPandas()
+    model = nodes if isinstance(nodes, pd.DataFrame) else _collect_model(nodes)
     tree_ids = sorted(model["tree"].unique())
     arrays = []
     for t in tree_ids:
@@ -156,7 +163,7 @@ def isolation_forest(df: DataFrame, key: str, features: Sequence[str], contamina
     feats = list(features)
     data = df.na.drop(subset=feats)
     n = data.count()
-    model = fit_forest(data, key, feats, trees, psi, seed, n=n).orderBy("tree", "node").toPandas()
+    model = _collect_model(fit_forest(data, key, feats, trees, psi, seed, n=n))
     scored = materialize(score_forest(data, model, feats, int(min(psi, max(n, 1)))), "iforest_scores")
     neg = scored.select(F.lit(0).alias("__g"), (-F.col("score")).alias("__neg"))
     offset = group_quantiles(neg, "__g", "__neg", [contamination]).first()["q_0"]
