@@ -40,14 +40,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     master (tests, bench) may fall back to a fresh scratch folder; on a cluster a
     machine-local folder would not survive the loss of an executor.
     """
+    try:  # a Spark Connect session has no SparkContext on the client
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001
+        sc = None
     conf = spark.conf.get(CHECKPOINT_CONF, None)
     if conf:
-        spark.sparkContext.setCheckpointDir(conf)
+        if sc is not None:
+            sc.setCheckpointDir(conf)
         return conf
-    master = spark.sparkContext.master
+    master = sc.master if sc is not None else (spark.conf.get("spark.master", None) or "")
     if not master.startswith("local"):
         raise RuntimeError(f"{CHECKPOINT_CONF} is not set; a shared folder is required on a cluster")
     path = tempfile.mkdtemp(prefix="terrapanel-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
