@@ -130,3 +130,18 @@ def test_bands_edges_and_nulls(spark):
         assert r.right == ("Low" if r.s <= 4 else "Medium" if r.s <= 7 else "High")
         assert r.light == ("red" if r.s > 7 else "amber" if r.s > 4 else "green")
         assert r.gauge == ("low" if r.s < 40 else "medium" if r.s < 70 else "high")
+
+
+def test_box_summary_matches_numpy(skewed):
+    from terrapanel.operators.kpi import box_summary
+
+    pdf, df = skewed
+    got = box_summary(df, "g", "v").toPandas().set_index("g").sort_index()
+    for g, part in pdf.groupby("g"):
+        v = part["v"].to_numpy()
+        q1, med, q3 = np.percentile(v, [25, 50, 75])
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        r = got.loc[g]
+        assert np.allclose([r["min"], r["q1"], r["median"], r["q3"], r["max"], r["lower_fence"], r["upper_fence"]],
+                           np.round([v.min(), q1, med, q3, v.max(), lo, hi], 6))
+        assert r["outliers"] == int(((v < lo) | (v > hi)).sum())
