@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from terrapanel.operators import scoring as S
@@ -55,19 +57,77 @@ def readiness_eval(spark, d):
     return S.metrics(p.where(F.col("is_test")), "y", "predicted")
 
 
+def _cov(i: int, j: int) -> str:
+    return f"c_{min(i, j)}_{max(i, j)}"
+
+
+def _det(rows: list[int], cols: list[int], entry) -> str:
+    """Determinant by cofactor expansion along the first row (k ≤ 4 here)."""
+    if len(rows) == 1:
+        return entry(rows[0], cols[0])
+    terms = []
+    for k, c in enumerate(cols):
+        minor = _det(rows[1:], cols[:k] + cols[k + 1:], entry)
+        terms.append(f"{'+' if k % 2 == 0 else '-'} ({entry(rows[0], c)}) * ({minor})")
+    return "(" + " ".join(terms) + ")"
+
+
+def _nnls_sql() -> str:
+    """Oracle text of ``fit_linear(positive=True)`` over the four risk scores:
+    every active set solved by Cramer's rule on the covariance system, slopes
+    below -1e-12 make a set infeasible, the rest are clipped at 0 and the set
+    with the least centred mean squared error wins (ties: earlier set)."""
+    k = len(RISK_X)
+    ys = "composite_score"
+    mom = [f"avg({ys}) AS my", f"var_pop({ys}) AS vy"]
+    mom += [f"avg({x}) AS m_{i}" for i, x in enumerate(RISK_X)]
+    mom += [f"covar_pop({RISK_X[i]}, {RISK_X[j]}) AS c_{i}_{j}" for i in range(k) for j in range(i, k)]
+    mom += [f"covar_pop({x}, {ys}) AS cy_{i}" for i, x in enumerate(RISK_X)]
+    subsets = [()] + [a for r in range(1, k + 1) for a in itertools.combinations(range(k), r)]
+    cands = []
+    for order, a in enumerate(subsets):
+        idx = list(range(len(a)))
+        w = ["0.0"] * k
+        if a:
+            den = _det(idx, idx, lambda p, q: _cov(a[p], a[q]))
+            for pos in idx:
+                num = _det(idx, idx, lambda p, q, pos=pos: f"cy_{a[p]}" if q == pos else _cov(a[p], a[q]))
+                w[a[pos]] = f"({num}) / ({den})"
+        cands.append(f"SELECT {order} AS ord, " + ", ".join(f"{e} AS w{i}" for i, e in enumerate(w)) + " FROM m")
+    feasible = " AND ".join(f"w{i} >= -1e-12" for i in range(k))
+    quad = " + ".join(f"w{i} * w{j} * {_cov(i, j)}" for i in range(k) for j in range(k))
+    lin = " + ".join(f"w{i} * cy_{i}" for i in range(k))
+    split = "((('0x' || substr(md5('42:' || CAST(site AS VARCHAR)), 1, 8))::UBIGINT) % 100) < 25"
+    return f"""s AS (SELECT entity, site, composite_score, {', '.join(RISK_X)}, {split} AS is_test FROM sites),
+m AS (SELECT {', '.join(mom)} FROM s WHERE NOT is_test AND {ys} IS NOT NULL AND {' AND '.join(f'{x} IS NOT NULL' for x in RISK_X)}),
+cand AS ({' UNION ALL '.join(cands)}),
+clip AS (SELECT ord, {', '.join(f'greatest(w{i}, 0.0) AS w{i}' for i in range(k))} FROM cand WHERE {feasible}),
+err AS (SELECT clip.*, vy - 2 * ({lin}) + ({quad}) AS mse FROM clip, m),
+best AS (SELECT * FROM err ORDER BY mse, ord LIMIT 1),
+coef AS (SELECT my - ({' + '.join(f'w{i} * m_{i}' for i in range(k))}) AS b0, {', '.join(f'w{i}' for i in range(k))} FROM best, m)"""
+
+
 def _risk(c: Ctx):
     s = hash_split(c.sites.select("entity", "site", "composite_score", *RISK_X), "site", 25, 42)
     coefs = S.fit_linear(s.where(~F.col("is_test")), "composite_score", RISK_X, positive=True)
     return s, coefs
 
 
-@query("risk_nnls_coefficients", ("M16",))
+@query("risk_nnls_coefficients", ("M16",), f"""
+WITH {_nnls_sql()}
+SELECT 'intercept' AS term, round(b0, 9) AS coefficient FROM coef
+""" + "".join(f"UNION ALL SELECT '{x}', round(w{i}, 9) FROM coef\n" for i, x in enumerate(RISK_X)))
 def risk_nnls_coefficients(spark, d):
     _, coefs = _risk(Ctx(spark, d))
     return S.coefficients_frame(spark, coefs, RISK_X)
 
 
-@query("risk_nnls_scored", ("M16", "M18"))
+@query("risk_nnls_scored", ("M16", "M18"), f"""
+WITH {_nnls_sql()}
+SELECT entity, site, composite_score, is_test,
+       round(b0 + {' + '.join(f'w{i} * {x}' for i, x in enumerate(RISK_X))}, 6) AS predicted
+FROM s, coef
+""")
 def risk_nnls_scored(spark, d):
     s, coefs = _risk(Ctx(spark, d))
     return s.select("entity", "site", "composite_score", "is_test",
