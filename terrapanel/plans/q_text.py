@@ -191,7 +191,7 @@ la AS (SELECT entity, metric, arg_max(value, period) AS last_actual FROM long GR
 lf AS (SELECT entity, metric, arg_max(forecast, period) AS last_forecast, max(period) AS target_period
        FROM fc GROUP BY entity, metric),
 j AS (SELECT lf.entity, lf.metric, target_period,
-             round((last_forecast - last_actual) / NULLIF(last_actual, 0) * 100.0, 1) AS pct
+             round((last_forecast - last_actual) / NULLIF(last_actual, 0) * 100.0, 1) + 0.0 AS pct
       FROM lf JOIN la ON la.entity = lf.entity AND la.metric = lf.metric),
 k AS (SELECT *, {METRIC_TITLE_SQL} AS key FROM j),
 r AS (SELECT *, CASE WHEN pct = floor(pct) THEN CAST(CAST(pct AS BIGINT) AS VARCHAR) ELSE CAST(pct AS VARCHAR) END AS pct_txt FROM k)

@@ -230,7 +230,8 @@ la AS (SELECT entity, metric, arg_max(value, period) AS last_actual FROM long GR
 lf AS (SELECT entity, metric, arg_max(forecast, period) AS last_forecast, max(period) AS target_period
        FROM fc GROUP BY entity, metric)
 SELECT lf.entity, lf.metric, target_period, CASE WHEN last_forecast > last_actual THEN 'Medium' ELSE 'Low' END AS badge,
-       round((last_forecast - last_actual) / NULLIF(last_actual, 0) * 100.0, 1) AS change_pct
+       -- + 0.0: DuckDB's round keeps the sign of a zero result (-0.0), Spark's decimal round does not
+       round((last_forecast - last_actual) / NULLIF(last_actual, 0) * 100.0, 1) + 0.0 AS change_pct
 FROM lf JOIN la ON la.entity = lf.entity AND la.metric = lf.metric
 """)
 def direction_badge(spark, d):
