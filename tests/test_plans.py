@@ -78,3 +78,11 @@ def test_no_unpartitioned_running_window(spark):
         running_sum(df, "v", "v")
     p = plan(QUERIES["scope_waterfall"].fn(spark, SF_SMALL))
     assert "Window" not in p
+
+
+def test_forest_scores_once(spark):
+    # the pandas UDF ran during the write of the scores; the returned frame reads them
+    p = plan(QUERIES["isolation_forest"].fn(spark, SF_SMALL))
+    assert "/tables/iforest_scores-" in p
+    for node in ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas"):
+        assert node not in p
