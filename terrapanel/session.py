@@ -46,7 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     conf = spark.conf.get(CHECKPOINT_CONF, None)
     if conf:
-        if sc is not None:
+        # setCheckpointDir makes a new subfolder on every call: set it once
+        if sc is not None and sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf)
         return conf
     master = sc.master if sc is not None else (spark.conf.get("spark.master", None) or "")
