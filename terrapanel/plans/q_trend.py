@@ -149,9 +149,9 @@ WITH {FIT_SQL},
 steps(h, ty) AS (VALUES (1, NULL), (3, NULL), (5, NULL), (10, NULL), (NULL, 2030), (NULL, 2040), (NULL, 2050)),
 x AS (SELECT fit.*, CAST(COALESCE(ty, last_period + h) AS INT) AS target_year FROM fit, steps)
 SELECT entity, metric, CAST(target_year - last_period AS INT) AS horizon_years, target_year,
-       round(intercept + slope * (target_year - 2000), 4) AS forecast_value,
-       round(intercept + slope * (target_year - 2000) - 1.96 * mae, 4) AS ci_lower,
-       round(intercept + slope * (target_year - 2000) + 1.96 * mae, 4) AS ci_upper
+       round(intercept + slope * (target_year - 2000), 4) + 0.0 AS forecast_value,
+       round(intercept + slope * (target_year - 2000) - 1.96 * mae, 4) + 0.0 AS ci_lower,
+       round(intercept + slope * (target_year - 2000) + 1.96 * mae, 4) + 0.0 AS ci_upper
 FROM x
 """)
 def forecast_holdout(spark, d):
@@ -182,8 +182,11 @@ e AS (SELECT fut.*, tt.t975,
       FROM fut LEFT JOIN tt ON tt.dof = fut.n - 2),
 raw AS (SELECT entity, metric, CAST(fy AS INT) AS period, yhat AS forecast,
               yhat - t975 * se AS lower, yhat + t975 * se AS upper FROM e),
-fc AS (SELECT entity, metric, period, round(forecast, 4) AS forecast, round(lower, 4) AS lower,
-              round(upper, 4) AS upper FROM raw)"""
+fc AS (SELECT entity, metric, period,
+              -- + 0.0 on rounded forecasts: DuckDB's round keeps the sign of a zero result (-0.0),
+              -- Spark's decimal round does not; a forecast near 0 would otherwise differ in sign only
+              round(forecast, 4) + 0.0 AS forecast, round(lower, 4) + 0.0 AS lower,
+              round(upper, 4) + 0.0 AS upper FROM raw)"""
 
 
 def _ci(c: Ctx, horizon, digits=T.FC_DIGITS):
@@ -205,8 +208,8 @@ def forecast_ci_2030(spark, d):
 WITH {_ci_sql('5')},
 sc(scenario, factor) AS (VALUES ('Baseline', CAST(1.0 AS DOUBLE)), ('Accelerated Transition', CAST(0.85 AS DOUBLE)),
                                 ('Delayed Policy Action', CAST(1.12 AS DOUBLE)))
-SELECT entity, metric, period, scenario, round(forecast * factor, 4) AS forecast, round(lower * factor, 4) AS lower,
-       round(upper * factor, 4) AS upper FROM raw, sc
+SELECT entity, metric, period, scenario, round(forecast * factor, 4) + 0.0 AS forecast, round(lower * factor, 4) + 0.0 AS lower,
+       round(upper * factor, 4) + 0.0 AS upper FROM raw, sc
 """)
 def scenario_forecasts(spark, d):
     return T.scenarios(_ci(Ctx(spark, d), 5, digits=None))
@@ -215,8 +218,8 @@ def scenario_forecasts(spark, d):
 @query("policy_intensity", ("M7",), f"""
 WITH {_ci_sql('10')},
 p(intensity) AS (VALUES (0), (25), (50), (75), (100))
-SELECT entity, metric, period, round(lower, 4) AS lower, round(upper, 4) AS upper, intensity,
-       round(forecast * (1.0 - intensity / 100.0 * 0.30 + (1.0 - intensity / 100.0) * 0.10), 4) AS forecast
+SELECT entity, metric, period, round(lower, 4) + 0.0 AS lower, round(upper, 4) + 0.0 AS upper, intensity,
+       round(forecast * (1.0 - intensity / 100.0 * 0.30 + (1.0 - intensity / 100.0) * 0.10), 4) + 0.0 AS forecast
 FROM raw, p WHERE metric = 'level_mt'
 """)
 def policy_intensity(spark, d):
