@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import MapType
 
 
 def _cols(c: str | Sequence[str]) -> list[str]:
@@ -26,7 +27,14 @@ def group_positions(df: DataFrame, by: str | Sequence[str], order: str | Sequenc
     by, order = _cols(by), _cols(order)
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n_parts, *by, *order).sortWithinPartitions(*by, *order)
+    # Tie-break: a hash of the whole row.  Range bounds on (group, order) alone
+    # cannot split a hot group whose order values are all equal; with the hash
+    # such a run still spreads over many partitions.  Equal (group, order) rows
+    # are interchangeable for every caller (quantiles, ranks, ordinal layout).
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    tie = F.xxhash64(*[F.col(c) for c in hashable]) if hashable else F.lit(0)
+    s = (df.withColumn("__tie", tie)
+           .repartitionByRange(n_parts, *by, *order, "__tie").sortWithinPartitions(*by, *order, "__tie")
            .withColumn("__pid", F.spark_partition_id())
            .withColumn("__mid", F.monotonically_increasing_id()))
     stats = s.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("__c"), F.min("__mid").alias("__m0"))
@@ -38,7 +46,7 @@ def group_positions(df: DataFrame, by: str | Sequence[str], order: str | Sequenc
     keys = ["__pid", *by]
     out = s.join(stats, keys, "inner")
     return (out.withColumn("pos", F.col("__off") + (F.col("__mid") - F.col("__m0")) + 1)
-               .drop("__pid", "__mid", "__c", "__m0", "__off"))
+               .drop("__pid", "__mid", "__c", "__m0", "__off", "__tie"))
 
 
 def group_percent_rank(df: DataFrame, by: str | Sequence[str], value: str) -> DataFrame:

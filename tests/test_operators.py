@@ -145,3 +145,17 @@ def test_box_summary_matches_numpy(skewed):
         assert np.allclose([r["min"], r["q1"], r["median"], r["q3"], r["max"], r["lower_fence"], r["upper_fence"]],
                            np.round([v.min(), q1, med, q3, v.max(), lo, hi], 6))
         assert r["outliers"] == int(((v < lo) | (v > hi)).sum())
+
+
+def test_hot_group_of_equal_values_is_spread(spark):
+    # a third of the rows share one group and one value: range bounds on
+    # (group, value) alone would put them all in one task
+    n = 3000
+    rows = [(i, "HOT" if i < n // 3 else f"g{i % 7}", 1.0 if i < n // 3 else float(i % 101)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(5)
+    p = group_positions(df, "g", ["v"], num_partitions=8).withColumn("pid", F.spark_partition_id())
+    hot = p.where("g = 'HOT'")
+    assert hot.select("pid").distinct().count() > 1
+    assert sorted(r.pos for r in hot.select("pos").collect()) == list(range(1, n // 3 + 1))
+    q = group_quantiles(df, "g", "v", [0.5]).where("g = 'HOT'").first()
+    assert q.q_0 == 1.0
