@@ -86,3 +86,15 @@ def test_forest_scores_once(spark):
     assert "/tables/iforest_scores-" in p
     for node in ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas"):
         assert node not in p
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_large_tables_scanned_at_most_once(spark, name):
+    """orders and lineitem are the tables that grow fastest: no query plan may read
+    either twice (views a query reuses are written once, see Ctx.shared)."""
+    import re
+
+    df = QUERIES[name].fn(spark, SF_SMALL)
+    scans = re.findall(r"file:[^\]]*/(\w+)\.parquet", df._jdf.queryExecution().executedPlan().toString())
+    for table in ("orders", "lineitem"):
+        assert scans.count(table) <= 1, f"{name} scans {table} {scans.count(table)} times"
