@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import embed_neardup, line_runs, minhash_bottomk, packing, pairwise_quality, pivotal_mix
+from terrapanel.llm import (
+    embed_neardup, license_scan, line_runs, minhash_bottomk, packing, pairwise_quality, pivot_search, pivotal_mix, preference_chat, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,10 +37,10 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # all pairs by exact cosine; the hashing finds every pair of these tables, whose links lie far above the threshold
 ORACLES["op1_embedding_neardup"] = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 ok AS (
   SELECT vec_id, e FROM v
-  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND list_dot_product(e, e) > 0),
 links AS (
   SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b
@@ -60,6 +62,46 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference_chat.preference_pairs(_table(spark, sf_dir, "conversations"))
+    done = preference_chat.format_preferences(pairs)
+    out = [F.col("row.conv_id"), F.col("row.chosen_id"), F.col("row.rejected_id"), F.col("n_prompt_turns"), F.col("prompt")]
+    for side in ("chosen", "rejected"):
+        segments = F.col(f"{side}_completion")
+        out += [F.array_join(segments["text"], "").alias(f"{side}_text"),
+                F.array_join(F.filter(segments, lambda x: x["loss"])["text"], "").alias(f"{side}_loss_text")]
+    return done.select(*out)
+
+
+_RENDER = "array_to_string(list_transform({0}, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), '')"
+_LOSS = "array_to_string(list_transform(list_filter({0}, lambda t: coalesce(t.role = 'assistant', false)), lambda t: coalesce(t.text, '') || '<|end|>' || chr(10)), '')"
+ORACLES["op3_preference_chat"] = f"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS turns FROM t GROUP BY conv_id),
+v AS (SELECT *, turns[1] AS opening, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS said FROM c),
+f AS (SELECT opening, min(conv_id) AS chosen_id FROM v GROUP BY opening HAVING count(*) > 1),
+p AS (
+  SELECT v.conv_id, f.chosen_id, v.conv_id AS rejected_id, k.turns AS chosen, v.turns AS rejected
+  FROM v JOIN f ON f.opening = v.opening AND f.chosen_id <> v.conv_id JOIN c k ON k.conv_id = f.chosen_id
+  UNION ALL
+  SELECT v.conv_id, v.conv_id, NULL, v.turns,
+         CASE WHEN len(said) = 0 THEN turns[1:len(turns) - 1]
+              ELSE list_concat(list_concat(turns[1:said[-1] - 1],
+                   [{{'role': 'assistant', 'text': CASE WHEN len(said) > 1 THEN coalesce(turns[said[-2]].text, '') ELSE '' END}}]),
+                   turns[said[-1] + 1:len(turns)]) END
+  FROM v LEFT JOIN f ON f.opening = v.opening WHERE f.chosen_id IS NULL OR f.chosen_id = v.conv_id),
+n AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[i] IS DISTINCT FROM rejected[i])) - 1,
+                     least(len(chosen), len(rejected))) AS n FROM p),
+r AS (SELECT *, chosen[n + 1:len(chosen)] AS c_rest, rejected[n + 1:len(rejected)] AS r_rest FROM n)
+SELECT conv_id, chosen_id, rejected_id, n AS n_prompt_turns, {_RENDER.format('chosen[1:n]')} AS prompt,
+       {_RENDER.format('c_rest')} AS chosen_text, {_LOSS.format('c_rest')} AS chosen_loss_text,
+       {_RENDER.format('r_rest')} AS rejected_text, {_LOSS.format('r_rest')} AS rejected_loss_text
+FROM r
+"""
+
+
 @_query
 def op4_bottomk_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_bottomk.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -71,7 +113,7 @@ WITH RECURSIVE w AS (
                                     '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
 n AS (SELECT doc_id, len(sh) AS n FROM s),
 i AS (SELECT doc_id, unnest(sh) AS g FROM s),
 often AS (SELECT g FROM i GROUP BY g HAVING count(*) > 1),
@@ -88,6 +130,45 @@ FROM n JOIN comp c ON c.node = n.doc_id
 """
 
 
+@_query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"))
+    records = warc.read_archives(spark, manifest, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+_BASE32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> {0}) & 31) + 1, 1)"
+ORACLES["op5_warc"] = f"""
+WITH p AS (
+  SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
+g AS (SELECT sha, n, min(page_id) AS first FROM p GROUP BY sha, n)
+SELECT page_id, p.n AS payload_bytes,
+       array_to_string(list_transform(list_transform(range(8), lambda i: ('0x' || substr(sha, (1 + 5 * i)::INT, 5))::BIGINT),
+         lambda n: {' || '.join(_BASE32.format(b) for b in (15, 10, 5, 0))}), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, url
+FROM p JOIN g USING (sha, n)
+"""
+
+
+@_query
+def op6_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+ORACLES["op6_pivot_search"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 @_query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_runs.dedup_lines(_table(spark, sf_dir, "documents"))
@@ -111,6 +192,42 @@ FROM d GROUP BY doc_id
 """
 
 
+@_query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.array_join("sentence_ids", ",").alias("sentence_ids"), "n_known")
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in rows)
+
+
+ORACLES["op8_license_scan"] = rf"""
+WITH known(sentence, sid) AS (VALUES {_values([(license_scan.normal_text(s), i) for i, s in license_scan.SENTENCES])}),
+rules(name, ids) AS (VALUES {_values([(name, ','.join(ids)) for name, ids in license_scan.RULES])}),
+covers(more, less) AS (VALUES {_values(list(license_scan.COVERS))}),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (
+  SELECT doc_id, 'lines' AS cut, regexp_split_to_array(text, '[
+]+') AS s FROM d
+  UNION ALL
+  SELECT doc_id, 'stops', string_split(regexp_replace(regexp_replace(text, '[ 	
+]+', ' ', 'g'), '([.!?;:]) ', '' || chr(10), 'g'), chr(10)) FROM d),
+e AS (SELECT doc_id, cut, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM c),
+k AS (
+  SELECT e.doc_id, e.cut, e.pos, known.sid FROM e JOIN known ON known.sentence =
+    trim(regexp_replace(translate(e.sentence, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))),
+q AS (SELECT doc_id, cut, ',' || string_agg(sid, ',' ORDER BY pos) || ',' AS ids, count(*) AS n FROM k GROUP BY doc_id, cut),
+h AS (SELECT DISTINCT doc_id, name FROM q JOIN rules ON contains(q.ids, ',' || rules.ids || ',')),
+x AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM covers JOIN h o ON o.name = covers.more WHERE o.doc_id = h.doc_id AND covers.less = h.name)),
+l AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses FROM x GROUP BY doc_id),
+i AS (SELECT doc_id, string_agg(sid, ',' ORDER BY sid) AS sentence_ids FROM (SELECT DISTINCT doc_id, sid FROM k) GROUP BY doc_id),
+m AS (SELECT doc_id, max(n) AS n_known FROM q GROUP BY doc_id)
+SELECT d.doc_id, coalesce(licenses, '') AS licenses, coalesce(sentence_ids, '') AS sentence_ids, coalesce(n_known, 0) AS n_known
+FROM d LEFT JOIN l USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 @_query
 def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
