@@ -96,6 +96,8 @@ RULES = (
 #: A licence whose rule holds another's: where both match, only the first is reported.
 COVERS = (("BSD-3-Clause", "BSD-2-Clause"),)
 
+#: Stands between sentences while a text is cut.
+MARK = "\x01"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -113,8 +115,9 @@ def by_lines(text: Column) -> Column:
 
 
 def by_stops(text: Column) -> Column:
-    """Sentences end after one of .!?;: before white space; line ends are blanks."""
-    return F.split(F.regexp_replace(F.regexp_replace(text, "[ \t\r\n]+", " "), "([.!?;:]) ", "$1\n"), "\n")
+    """Sentences end at blank lines and after one of .!?;: before white space; other line ends are blanks."""
+    parts = F.regexp_replace(F.regexp_replace(text, "\n[ \t\r]*\n", MARK), "[ \t\r\n]+", " ")
+    return F.split(F.regexp_replace(parts, "([.!?;:]) ", f"$1{MARK}"), MARK)
 
 
 def known_sentences(docs: DataFrame, id_col: str, text_col: str, known: DataFrame) -> DataFrame:

@@ -208,11 +208,10 @@ rules(name, ids) AS (VALUES {_values([(name, ','.join(ids)) for name, ids in lic
 covers(more, less) AS (VALUES {_values(list(license_scan.COVERS))}),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 c AS (
-  SELECT doc_id, 'lines' AS cut, regexp_split_to_array(text, '[
-]+') AS s FROM d
+  SELECT doc_id, 'lines' AS cut, regexp_split_to_array(text, '[\r\n]+') AS s FROM d
   UNION ALL
-  SELECT doc_id, 'stops', string_split(regexp_replace(regexp_replace(text, '[ 	
-]+', ' ', 'g'), '([.!?;:]) ', '' || chr(10), 'g'), chr(10)) FROM d),
+  SELECT doc_id, 'stops', string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n[ \t\r]*\n', chr(1), 'g'),
+    '[ \t\r\n]+', ' ', 'g'), '([.!?;:]) ', '\1' || chr(1), 'g'), chr(1)) FROM d),
 e AS (SELECT doc_id, cut, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM c),
 k AS (
   SELECT e.doc_id, e.cut, e.pos, known.sid FROM e JOIN known ON known.sentence =
