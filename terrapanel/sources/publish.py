@@ -3,12 +3,15 @@
 Layout under ``<root>/<dataset>/``:
 
 * ``snapshot=<id>/`` — one immutable parquet snapshot per publish;
-* ``_current/``      — a one-row pointer table ``(snapshot, published_at)``.
-
-A publish writes the new snapshot folder first and replaces the pointer last,
-so a reader sees either the old or the new snapshot, never a half-written one;
-old snapshots stay (the previous good data is never destroyed).  Writing a
-snapshot is also where lineage is cut: later reads start from those files.
+* ``_pointers/``     — appended rows ``(seq, snapshot, published_at)``; the row
+  with the highest ``seq`` names the current snapshot.
+
+A publish writes the new snapshot folder first and appends the pointer last, so
+a reader sees either the old or the new snapshot: no pointer is ever removed,
+and a crash before the append leaves the old one in force.  A snapshot id that a
+pointer names is never written again: a replay of that publish changes nothing.
+One publisher per dataset at a time.  Writing a snapshot is also where lineage
+is cut: later reads start from those files.
 """
 
 from __future__ import annotations
@@ -20,19 +23,42 @@ from pyspark.sql.utils import AnalysisException
 
 from terrapanel.operators import quality as Q
 from terrapanel.operators import reconcile as R
+from terrapanel.operators.window import latest_per_key
 from terrapanel.registry import Dataset
+from terrapanel.sources.tables import materialize
 
 
 def _base(root: str, ds: Dataset) -> str:
     return f"{root.rstrip('/')}/{ds.name}"
 
 
-def current_snapshot_id(spark: SparkSession, root: str, ds: Dataset) -> str | None:
+POINTER = "seq long, snapshot string, published_at timestamp"
+
+
+def _pointers(spark: SparkSession, root: str, ds: Dataset) -> DataFrame | None:
+    """All pointers, or None before the first publish; any other read error is raised."""
     try:
-        row = spark.read.parquet(f"{_base(root, ds)}/_current").first()
-    except AnalysisException:
-        return None
-    return None if row is None else row["snapshot"]
+        return spark.read.schema(POINTER).parquet(f"{_base(root, ds)}/_pointers")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def _current(spark: SparkSession, root: str, ds: Dataset) -> tuple[int, str | None]:
+    p = _pointers(spark, root, ds)
+    row = None if p is None else p.agg(F.max(F.struct("seq", "snapshot")).alias("m")).first()["m"]
+    return (0, None) if row is None else (row["seq"], row["snapshot"])
+
+
+def current_snapshot_id(spark: SparkSession, root: str, ds: Dataset) -> str | None:
+    return _current(spark, root, ds)[1]
+
+
+def is_published(spark: SparkSession, root: str, ds: Dataset, snapshot_id: str) -> bool:
+    """Whether a pointer names this snapshot, the current one or an earlier one."""
+    p = _pointers(spark, root, ds)
+    return p is not None and not p.where(F.col("snapshot") == snapshot_id).isEmpty()
 
 
 def read_current(spark: SparkSession, root: str, ds: Dataset) -> DataFrame | None:
@@ -46,17 +72,21 @@ def read_current(spark: SparkSession, root: str, ds: Dataset) -> DataFrame | Non
 def write_snapshot(df: DataFrame, root: str, ds: Dataset, snapshot_id: str) -> None:
     spark = df.sparkSession
     path = f"{_base(root, ds)}/snapshot={snapshot_id}"
-    # rows sorted by key within each file: min/max statistics prune point lookups
+    if is_published(spark, root, ds, snapshot_id):
+        raise ValueError(f"snapshot {snapshot_id} of {ds.name} is published; snapshots are never rewritten")
+    seq = _current(spark, root, ds)[0] + 1
+    # rows sorted by key within each file: min/max statistics prune point lookups;
+    # a folder that no pointer names is what a crashed publish left, and is replaced
     df.sortWithinPartitions(*ds.key).write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(snapshot_id,)], "snapshot string") \
+    spark.createDataFrame([(seq, snapshot_id)], "seq long, snapshot string") \
          .withColumn("published_at", F.current_timestamp()) \
-         .coalesce(1).write.mode("overwrite").parquet(f"{_base(root, ds)}/_current")
+         .coalesce(1).write.mode("append").parquet(f"{_base(root, ds)}/_pointers")
 
 
 @dataclass
 class PublishResult:
     dataset: str
-    status: str                 # published | gate_failed
+    status: str                 # published | gate_failed | already_published
     snapshot: str | None
     total_rows: int
     valid_rows: int
@@ -66,24 +96,46 @@ class PublishResult:
     flagged_rows: int = 0
 
 
-def publish(new: DataFrame, root: str, ds: Dataset, snapshot_id: str, on_flag: str = "keep_previous") -> PublishResult:
-    """Validate → (gate) → reconcile with the current snapshot → write the
-    promoted table as a new snapshot → move the pointer.
+def _conform(df: DataFrame, other: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``other`` that it lacks, as nulls."""
+    return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema.fields if f.name not in df.columns])
+
 
-    Gate failure publishes nothing (readers keep the previous snapshot).  Only
-    the two report rows reach the driver; the data stays on the executors.
+def publish(new: DataFrame, root: str, ds: Dataset, snapshot_id: str, on_flag: str = "keep_previous",
+            partial: bool = False) -> PublishResult:
+    """Validate → (gate) → reconcile with the current snapshot → write the
+    promoted table as a new snapshot → append the pointer.
+
+    Gate failure publishes nothing (readers keep the previous snapshot).  The
+    load is staged once in the shared checkpoint folder: gate, reconciliation
+    and snapshot all read the staged rows.  Of valid rows that share a key, one
+    is published (the greatest by its other columns).  ``partial``: the load
+    holds some keys only, and keys that it lacks keep their previous rows; else
+    the load replaces the table.  Columns that only one side has are null on the
+    other.  Publishing an id again returns "already_published".
     """
     spark = new.sparkSession
-    validated = Q.validate(new, ds)
+    if is_published(spark, root, ds, snapshot_id):
+        return PublishResult(ds.name, "already_published", snapshot_id, 0, 0, 0.0)
+    validated = materialize(Q.validate(new, ds), f"staged_{ds.name}")
     rep = Q.validation_report(validated, ds).first()
     res = PublishResult(ds.name, "gate_failed", None, rep["total_rows"], rep["valid_rows"], rep["pass_rate"])
     if not rep["passed"]:
         return res
     valid = validated.where("is_valid").drop("_violations", "is_valid", "first_error")
+    rest = [c for c in valid.columns if c not in ds.key]
+    valid = latest_per_key(valid, list(ds.key), rest) if rest else valid.dropDuplicates(list(ds.key))
     previous = read_current(spark, root, ds)
+    if previous is not None and previous.isEmpty():
+        previous = None  # nothing to compare with, as on the first run
+    if previous is not None:
+        valid, previous = _conform(valid, previous), _conform(previous, valid)
     cmp = R.compare(valid, previous, ds)
     summ = R.summary(cmp, ds, had_previous=previous is not None).first()
-    promoted = R.promote(cmp, previous.select(*valid.columns) if previous is not None else None, ds, on_flag)
+    promoted = R.promote(cmp, previous, ds, on_flag)
+    if partial and previous is not None:
+        absent = previous.join(valid.select(*ds.key), list(ds.key), "left_anti")
+        promoted = promoted.unionByName(absent.select(*promoted.columns))
     write_snapshot(promoted, root, ds, snapshot_id)
     res.status, res.snapshot = "published", snapshot_id
     res.rows_compared, res.anomaly_count, res.flagged_rows = (summ["rows_compared"], summ["anomaly_count"],
@@ -96,9 +148,9 @@ def upsert_snapshot(batch: DataFrame, root: str, ds: Dataset, snapshot_id: str,
     """ST2: idempotent upsert by key — latest row per key inside the batch,
     replacing those keys in the current snapshot; the result is a new snapshot.
     Replaying the same batch gives the same snapshot (same id, same content)."""
-    from terrapanel.operators.window import latest_per_key
-
     spark = batch.sparkSession
+    if is_published(spark, root, ds, snapshot_id):
+        return
     order = [c for c in order_by if c in batch.columns]
     latest = latest_per_key(batch, list(ds.key), order) if order else batch.dropDuplicates(list(ds.key))
     cols = [c for c in latest.columns if not c.startswith("_")]

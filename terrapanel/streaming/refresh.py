@@ -2,18 +2,20 @@
 
 The periodic re-pull of the batch pipeline becomes a file-source stream: new
 landed files are micro-batches, each batch is validated, reconciled and
-published as a snapshot keyed by its ``batchId`` (so a replay after a failure
-rewrites the same snapshot), and progress lives in a checkpoint under the
-cluster's shared ``spark.checkpoint.dir``.
+published as a snapshot named by stream and ``batchId`` (so a replay after a
+failure finds it published and changes nothing), and progress lives in a
+checkpoint under the cluster's shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
 from terrapanel.registry import Dataset
 from terrapanel.session import checkpoint_dir
@@ -39,6 +41,23 @@ def landing_stream(spark: SparkSession, path: str, schema: StructType | str, fmt
                   .withColumn("_source_file", F.col("_metadata.file_name")))
 
 
+def _stream_id(spark: SparkSession, ckpt: str) -> str:
+    """An id that lives with the stream's checkpoint: the same after a restart, a
+    new one when the checkpoint is lost and batch numbers start again at 0."""
+    path = f"{ckpt}/_stream_id"
+    try:
+        return spark.read.schema("id string").parquet(path).agg(F.min("id").alias("id")).first()["id"]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    spark.createDataFrame([(uuid.uuid4().hex[:12],)], "id string").coalesce(1).write.mode("append").parquet(path)
+    return _stream_id(spark, ckpt)
+
+
+def _snapshot_id(query: str, batch_id: int) -> str:
+    return f"{query}-{batch_id:010d}"
+
+
 def _with_row_seq(batch: DataFrame) -> DataFrame:
     """Row order inside one micro-batch (a static frame, where row ids are allowed)."""
     if "_row_seq" in batch.columns:
@@ -58,17 +77,20 @@ def refresh(stream: DataFrame, root: str, ds: Dataset, clean: Callable[[DataFram
             every_seconds: int | None = None, name: str | None = None) -> StreamingQuery:
     """ST1: ingest → clean → validate → reconcile → publish per micro-batch.
 
-    A failed gate publishes nothing, so readers keep the last good snapshot.
+    A failed gate publishes nothing, so readers keep the last good snapshot.  A
+    micro-batch may hold part of a pull only: keys that it lacks keep their rows.
     ``every_seconds=None`` processes what has landed and stops (availableNow).
     """
     spark = stream.sparkSession
     ckpt = f"{checkpoint_dir(spark).rstrip('/')}/refresh_{name or ds.name}"
 
+    query = _stream_id(spark, ckpt)
+
     def run(batch: DataFrame, batch_id: int) -> None:
         batch = _with_row_seq(batch).persist()
         try:
             data = clean(batch) if clean else batch
-            res = publish(data, root, ds, snapshot_id=f"{batch_id:010d}")
+            res = publish(data, root, ds, snapshot_id=_snapshot_id(query, batch_id), partial=True)
             _freshness_row(data, ds, batch_id, res.status).write.mode("append").parquet(
                 f"{root.rstrip('/')}/_freshness")
         finally:
@@ -86,8 +108,10 @@ def upsert(stream: DataFrame, root: str, ds: Dataset, every_seconds: int | None
     spark = stream.sparkSession
     ckpt = f"{checkpoint_dir(spark).rstrip('/')}/upsert_{name or ds.name}"
 
+    query = _stream_id(spark, ckpt)
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        upsert_snapshot(_with_row_seq(batch), root, ds, snapshot_id=f"{batch_id:010d}")
+        upsert_snapshot(_with_row_seq(batch), root, ds, snapshot_id=_snapshot_id(query, batch_id))
 
     return _trigger(stream.writeStream.foreachBatch(run).option("checkpointLocation", ckpt), every_seconds).start()
 
