@@ -3,8 +3,9 @@
 Isolation forest (Liu, Ting & Zhou 2008), laid out for Spark:
 
 1. *Sample*: every row gets a uniform ``u`` from a hash of its key; tree ``t``
-   takes the rows with ``(u - t*f) mod 1 < f``, ``f = psi / n``.  A narrow
-   filter: about ``trees * psi`` rows leave the scan, whatever ``n`` is.
+   takes exactly the ``psi`` rows next after ``t / trees`` on the circle, found
+   in an arc a little wider than ``psi / n``: little more than ``trees * psi``
+   rows leave the scan, whatever ``n`` is.
 2. *Grow*: ``groupBy(tree).applyInPandas`` — one group per tree, at most ``psi``
    (256) rows, rows sorted by key and the generator seeded by the tree id, so
    the forest is the same under any partitioning or re-execution.
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from terrapanel.operators.rank import group_quantiles
 from terrapanel.sources.tables import materialize
@@ -87,20 +88,25 @@ def fit_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 10
     if n is None:
         n = data.count()  # one scalar action: the sampling rate needs the row count
     psi = int(min(psi, max(n, 1)))
-    f = psi / max(n, 1)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
+    # A row has one hash u in [0, 1); tree t draws from the arc of width w that
+    # starts at t / trees, wide enough to hold psi rows (eight standard deviations),
+    # and keeps exactly the psi rows nearest its start.  One rule for every n: arcs
+    # overlap when trees * w > 1 and lie apart otherwise, and a row is copied only
+    # to the trees whose arcs hold it.
+    w = min(1.0, (psi + 8 * math.sqrt(psi) + 16) / max(n, 1))
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)).cast("double") / float(1 << 30))
-    data = data.withColumn("__u", u)
-    if trees * f >= 1.0:  # small input: a row may fall in several trees' windows
-        tagged = data.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        keep = F.pmod(F.col("__u") - F.col("tree") * F.lit(f), F.lit(1.0)) < F.lit(f)
-        tagged = tagged.where(keep)
-    else:  # large input: windows are disjoint, a row is in at most one tree
-        tagged = data.withColumn("tree", F.floor(F.col("__u") / F.lit(f)).cast("int")).where(F.col("tree") < trees)
-    tagged = tagged.select("tree", key, "__u", *[F.col(c).cast("double").alias(c) for c in feats])
+    first, last = F.floor((F.col("__u") - w) * trees) + 1, F.floor(F.col("__u") * trees)
+    tagged = (data.withColumn("__u", u).withColumn("__first", first).withColumn("__last", last).where("__first <= __last")
+                  .withColumn("__arc", F.explode(F.sequence("__first", "__last")))
+                  .withColumn("tree", F.pmod("__arc", F.lit(trees)).cast("int"))
+                  .withColumn("__u", F.col("__u") - F.col("__arc") / F.lit(float(trees))))
+    nearest = Window.partitionBy("tree").orderBy("__u", key)
+    tagged = (tagged.withColumn("__rn", F.row_number().over(nearest)).where(F.col("__rn") <= psi)
+                    .select("tree", key, *[F.col(c).cast("double").alias(c) for c in feats]))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__u", key]).head(psi).sort_values(key)
+        pdf = pdf.sort_values(key)
         t = int(pdf["tree"].iloc[0])
         rows = _grow(t, pdf[feats].to_numpy(dtype=float), seed, max_depth)
         return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left_child", "right_child",
