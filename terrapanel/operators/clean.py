@@ -22,12 +22,13 @@ def clean(df: DataFrame, ds: Dataset, order_by: Sequence[str] = ("_batch", "_row
     """Clean a landed frame of dataset ``ds``.
 
     ``numeric_text`` maps a raw text column to the numeric column it becomes
-    (coerced, bad → null).  ``null_as_lower`` selects the silver clamp (P7).
+    (coerced, bad → null); measures and bounded columns that land as text under their own
+    name are coerced too, so an all-text frame cleans.  ``null_as_lower`` selects the silver clamp (P7).
     ``dropna`` defaults to the registry's required set for the local stage.
     The result keeps ``keep`` columns (default: every non-lineage column).
     """
     numeric_text = numeric_text or {}
-    cols = {}
+    cols, types = {}, dict(df.dtypes)
     for c in df.columns:
         e = F.col(c)
         if c in ds.code_cols:
@@ -37,6 +38,10 @@ def clean(df: DataFrame, ds: Dataset, order_by: Sequence[str] = ("_batch", "_row
         if c in numeric_text:
             cols[numeric_text[c]] = to_number(c)
             continue
+        if types[c] == "string" and (c in ds.bounds or c in ds.clamp or c in ds.int_cols or c in ds.measures):
+            e = to_number(c)
+            if c in ds.int_cols:
+                e = F.when(e == F.floor(e), e.cast("bigint"))
         cols[c] = e
     for c, b in ds.clamp.items():
         if c in cols:

@@ -119,9 +119,10 @@ COMPANY_ESG = Dataset(
     bounds={"scope1_tco2e": NONNEG, "scope2_tco2e": NONNEG, "scope3_tco2e": NONNEG,
             "esg_readiness_score": PCT, "csrd_readiness_score": PCT, "reporting_gaps_count": NONNEG},
     enums={"country_code": VALID_COUNTRIES},
-    clamp={"scope1_tco2e": NONNEG, "scope2_tco2e": NONNEG, "scope3_tco2e": NONNEG},
+    clamp={"scope1_tco2e": NONNEG, "scope2_tco2e": NONNEG, "scope3_tco2e": NONNEG,
+           "esg_readiness_score": NONNEG, "csrd_readiness_score": NONNEG},
     code_cols=("country_code",),
-    dropna=("company_id",),
+    dropna=("company_id", "country_code"),
     check_cols=("scope1_tco2e", "scope2_tco2e", "scope3_tco2e"),
     tolerance=TOL_FIRMS,
     row_bounds=(1, 100_000),
