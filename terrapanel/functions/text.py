@@ -31,7 +31,6 @@ PHONE_RE = r"(?:\+?\d[\d\-\s()]{7,}\d)"
 REPLACEMENT_CHAR = "�"
 GROUNDING_TOLERANCE = 0.5
 GROUNDING_LISTED = 5
-EXCERPT_CHARS = 6000
 PII_NAME_SIGNATURES = (
     "email", "e_mail", "phone", "telefon", "ssn", "social_security",
     "date_of_birth", "dob", "birth_date", "geburtsdatum", "personal_id",
@@ -71,11 +70,23 @@ def fixed(x: str | Column, digits: int) -> Column:
 
 
 def py_str(x: str | Column) -> Column:
-    """Python ``str(float(x))``: integral values print with ``.0``."""
+    """Python ``str(float(x))``: integral values print with ``.0``, magnitudes from
+    1e-4 to below 1e16 in plain decimals, others as ``1e-05`` or ``1.5e+16``."""
     x = _c(x).cast("double")
+    text = x.cast("string")
+    plain = F.regexp_replace(text.cast("decimal(38,21)").cast("string"), "0+$", "")
+    mantissa = F.regexp_replace(F.regexp_extract(text, "^([^E]*)E", 1), "[.]0$", "")
+    power = F.regexp_extract(text, "E-?([0-9]+)$", 1)
+    exponent = F.concat(F.when(text.contains("E-"), F.lit("e-")).otherwise(F.lit("e+")),
+                        F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power))
     return (F.when(x.isNull(), F.lit(None).cast("string"))
-             .when((x == F.floor(x)) & (F.abs(x) < F.lit(1e16)), F.concat(x.cast("bigint").cast("string"), F.lit(".0")))
-             .otherwise(x.cast("string")))
+             .when(F.isnan(x), F.lit("nan"))
+             .when(F.abs(x) == F.lit(float("inf")), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+             .when((x == F.floor(x)) & (F.abs(x) < F.lit(1e16)),
+                   F.concat(F.when((x == 0) & text.startswith("-"), F.lit("-")).otherwise(F.lit("")),
+                            x.cast("bigint").cast("string"), F.lit(".0")))
+             .when((F.abs(x) >= F.lit(1e-4)) & (F.abs(x) < F.lit(1e16)), plain)
+             .otherwise(F.concat(mantissa, exponent)))
 
 
 def numbers(text: str | Column) -> Column:
@@ -90,8 +101,10 @@ def unmatched(answer_nums: Column, context_nums: Column, tol: float = GROUNDING_
 
 def json_sorted(fields: Mapping[str, Column | str], ints: set[str] = frozenset(),
                 floats: set[str] = frozenset()) -> Column:
-    """``json.dumps(row, sort_keys=True)`` text (", " and ": " separators);
-    ``ints`` print as integers, ``floats`` as Python floats, the rest as JSON strings."""
+    """``json.dumps(row, sort_keys=True, ensure_ascii=False)`` text (", " and ": "
+    separators); ``ints`` print as integers, ``floats`` as Python floats, the rest as
+    JSON strings.  Characters beyond ASCII stay as they are: their escapes would put
+    digits into the text from which numbers are read."""
     parts = []
     for i, k in enumerate(sorted(fields)):
         v = _c(fields[k])
@@ -100,7 +113,8 @@ def json_sorted(fields: Mapping[str, Column | str], ints: set[str] = frozenset()
         elif k in floats:
             val = py_str(v)
         else:
-            val = F.regexp_extract(F.to_json(F.array(v.cast("string"))), r"^\[(.*)\]$", 1)
+            one = F.to_json(F.array(v.cast("string")))
+            val = F.substring(one, F.lit(2), F.length(one) - 2)
         parts += [F.lit(("{" if i == 0 else ", ") + f'"{k}": '), F.coalesce(val, F.lit("null"))]
     parts.append(F.lit("}"))
     return F.concat(*parts)

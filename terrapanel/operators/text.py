@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from terrapanel.functions.text import (
-    EXCERPT_CHARS, GROUNDING_LISTED, fixed, numbers, py_str, unmatched,
+    GROUNDING_LISTED, fixed, numbers, py_str, unmatched,
 )
 
 # ---------------------------------------------------------------------------
@@ -150,9 +150,10 @@ def report_note(text: Column, lang: str = "en") -> Column:
     return template(t, n=F.char_length(text))
 
 
-def report_excerpt(text: Column, chars: int = EXCERPT_CHARS) -> Column:
-    """the excerpt handed to the summariser (the reference caps it at 6000 characters)."""
-    return F.substring(text, 1, chars)
+def report_excerpt(text: Column, chars: int | None = None) -> Column:
+    """the excerpt handed to the summariser: the whole text, or its first ``chars``
+    characters where a caller's summariser has a limit."""
+    return text if chars is None else F.substring(text, 1, chars)
 
 
 def grounding(answer: Column, context: Column) -> Column:

@@ -255,9 +255,9 @@ def kpi_headlines(spark, d):
 
 
 @query("report_notes", ("T6", "F5", "T1"), f"""
-WITH s AS (SELECT doc_id, CAST(length(text) AS INT) AS n_chars, CAST(least(length(text), 6000) AS INT) AS excerpt_chars,
+WITH s AS (SELECT doc_id, CAST(length(text) AS INT) AS n_chars, CAST(length(text) AS INT) AS excerpt_chars,
                   'Report excerpt received (' || CAST(length(text) AS VARCHAR) || ' characters).' AS answer,
-                  '{{"report_excerpt": ' || to_json(substr(text, 1, 6000)) || '}}' AS context
+                  '{{"report_excerpt": ' || to_json(text) || '}}' AS context
            FROM documents),
 {GROUND_SQL('s', 'doc_id')}
 SELECT s.doc_id, n_chars, excerpt_chars, answer AS note, grounded FROM s JOIN gr ON gr.doc_id = s.doc_id
@@ -268,7 +268,7 @@ def report_notes(spark, d):
     context = json_sorted({"report_excerpt": X.report_excerpt(F.col("text"))})
     g = X.grounding(answer, context)
     return docs.select("doc_id", F.char_length("text").cast("int").alias("n_chars"),
-                       F.least(F.char_length("text"), F.lit(6000)).cast("int").alias("excerpt_chars"),
+                       F.char_length(X.report_excerpt(F.col("text"))).cast("int").alias("excerpt_chars"),
                        answer.alias("note"), g.grounded.alias("grounded"))
 
 
