@@ -110,4 +110,4 @@ def missing_codes(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
 def surrogate_id(key: Column, prefix: str = "USR-") -> Column:
     """Content-derived id (a clock-based id collides within a second)."""
-    return F.concat(F.lit(prefix), F.substring(F.sha2(key.cast("string"), 256), 1, 16))
+    return F.concat(F.lit(prefix), F.sha2(key.cast("string"), 256))

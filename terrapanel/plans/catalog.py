@@ -1,7 +1,8 @@
 """Registered queries: name → (Spark callable, DuckDB oracle SQL or None).
 
-Each callable takes ``(spark, data_dir)`` and returns a lazy DataFrame over the
-whole base tables of that folder.  The oracle SQL runs in DuckDB on the same
+Each callable takes ``(spark, data_dir)`` and returns a DataFrame over the whole
+base tables of that folder; building it may run jobs (shared views are written,
+models are fitted).  The oracle SQL runs in DuckDB on the same
 parquet files (tables pre-registered as views) and must return the same
 columns, aliased the same way.
 """
@@ -73,6 +74,10 @@ class Ctx:
     def panel(self) -> DataFrame:
         return self._view("panel", V.panel)
 
+    def panel_years(self, lo: int | None = None, hi: int | None = None) -> DataFrame:
+        """The panel of the years ``lo`` to ``hi`` only; the bounds reach the scan of ``orders``."""
+        return V.panel(self.t, lo, hi)
+
     @property
     def sites(self) -> DataFrame:
         return V.sites(self.t)

@@ -193,7 +193,7 @@ SELECT entity, round(avg(level_mt), 1) AS mean_level_mt, round(avg(share_a_pct),
 FROM panel WHERE period BETWEEN 1996 AND 2000 GROUP BY entity
 """)
 def kpi_means(spark, d):
-    p = Ctx(spark, d).panel.where(F.col("period").between(1996, 2000))
+    p = Ctx(spark, d).panel_years(1996, 2000)
     return K.kpi_means(p, ["level_mt", "share_a_pct"], by="entity")
 
 

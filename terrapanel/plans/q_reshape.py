@@ -15,7 +15,7 @@ SELECT firm_id, firm_name, entity, sector, scope1, scope2, scope3, readiness_sco
 UNION ALL
 SELECT NULL, c_name, n_name, c_mktsegment, NULL, NULL, NULL,
        least(greatest((c_acctbal + 1000) / 110.0, 0.0), 100.0), NULL,
-       'USR-' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 16), 'user_input'
+       'USR-' || sha256(CAST(c_custkey AS VARCHAR)), 'user_input'
 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'HOUSEHOLD'
 """)
 def union_submitted(spark, d):

@@ -23,7 +23,7 @@ KEEP_CODES = ["NATION_6", "NATION_7", "NATION_19", "NATION_22", "NATION_23", "NA
 SELECT * FROM panel WHERE entity = 'NATION_7' AND period >= 1996
 """)
 def serve_panel(spark, d):
-    return S.panel(Ctx(spark, d).panel, PANEL_ENTITY, YEAR_FROM, YEAR_TO)
+    return S.panel(Ctx(spark, d).panel_years(YEAR_FROM, YEAR_TO), PANEL_ENTITY, YEAR_FROM, YEAR_TO)
 
 
 @query("serve_firms", ("P11", "O1"), """
@@ -42,7 +42,7 @@ def serve_firm(spark, d):
 SELECT entity, period, level_mt FROM panel WHERE entity IN ('NATION_1', 'NATION_2', 'NATION_3') AND period BETWEEN 1997 AND 1999
 """)
 def multi_select(spark, d):
-    p = Ctx(spark, d).panel.select("entity", "period", "level_mt")
+    p = Ctx(spark, d).panel_years(MULTI_LO, MULTI_HI).select("entity", "period", "level_mt")
     return S.multi_select(p, "entity", MULTI_ENTITIES, "period", MULTI_LO, MULTI_HI)
 
 
@@ -50,7 +50,7 @@ def multi_select(spark, d):
 SELECT entity, period, level_mt FROM panel WHERE period BETWEEN 1997 AND 1999
 """)
 def multi_select_all(spark, d):
-    p = Ctx(spark, d).panel.select("entity", "period", "level_mt")
+    p = Ctx(spark, d).panel_years(MULTI_LO, MULTI_HI).select("entity", "period", "level_mt")
     return S.multi_select(p, "entity", "ALL", "period", MULTI_LO, MULTI_HI)
 
 

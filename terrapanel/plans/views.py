@@ -19,15 +19,26 @@ from terrapanel.sources.tables import Tables
 DEC = "decimal(18,2)"
 
 
-def panel(t: Tables) -> DataFrame:
+def _years(lo: int | None, hi: int | None):
+    """Order dates of the years ``lo`` to ``hi`` (None or 0: open), as bounds the scan can use."""
+    cond = F.lit(True)
+    if lo:
+        cond = cond & (F.col("o_orderdate") >= F.lit(f"{lo:04d}-01-01").cast("date"))
+    if hi:
+        cond = cond & (F.col("o_orderdate") < F.lit(f"{hi + 1:04d}-01-01").cast("date"))
+    return cond
+
+
+def panel(t: Tables, lo: int | None = None, hi: int | None = None) -> DataFrame:
     """orders ⋈ customer ⋈ nation, then one aggregate to (entity, period).
 
     The dimension joins are planned by size: below the broadcast threshold the
     whole view is one stage (scan → two hash joins → partial aggregate) and only
     the 175-group partial states are exchanged; above it, orders ⋈ customer is a
-    sort-merge join on the customer key where AQE splits a hot customer.
+    sort-merge join on the customer key where AQE splits a hot customer.  A range
+    of years becomes bounds on the order date, which the scan prunes by.
     """
-    o = t.orders.select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    o = t.orders.where(_years(lo, hi)).select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     cust = t.customer.select("c_custkey", "c_nationkey")
     nat = t.nation.select("n_nationkey", F.col("n_name").alias("entity"))
     j = (o.join(cust, o.o_custkey == cust.c_custkey)

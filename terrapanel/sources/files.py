@@ -1,19 +1,23 @@
 """File sources and sinks (S1, S4-S9, S11, S12, S15; A8 counts on the write).
 
 Raw files are *appended* under ``raw/<dataset>/_run_id=<UTC stamp>``; nothing is
-ever deleted.  "Only the latest pull counts" is a read rule: filter on the
-partition column with a scalar subquery, which Spark evaluates before listing
-files, so only the newest run's folder is scanned.
+ever deleted.  "Only the latest pull counts" is a read rule: the run folders are
+listed by name, and only the newest one is read.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+log = logging.getLogger(__name__)
+
 # Fixed value: run stamp format (UTC), e.g. 20240131T235959Z.
 STAMP_FMT = "%Y%m%dT%H%M%SZ"
 STAMP_SPARK = "yyyyMMdd'T'HHmmss'Z'"
@@ -59,11 +63,12 @@ def land(df: DataFrame, root: str, dataset: str, run_id: str) -> str:
 
 
 def read_latest_run(spark: SparkSession, root: str, dataset: str) -> DataFrame:
-    """Rows of the newest ``_run_id`` only (runtime partition pruning)."""
+    """Rows of the newest ``_run_id`` only; one listing of the run folders, no file of an older run is opened."""
     path = f"{root.rstrip('/')}/raw/{dataset}"
-    df = spark.read.parquet(path)
-    latest = df.select(F.max("_run_id")).scalar()
-    return df.where(F.col("_run_id") == latest)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    runs = [s.getPath().getName() for s in found if s.getPath().getName().startswith("_run_id=")]
+    return spark.read.option("basePath", path).parquet(f"{path}/{max(runs)}")
 
 
 # -- S7: source preference with fallback ------------------------------------------------------------
@@ -76,7 +81,8 @@ def first_available(readers: Sequence[tuple[str, Callable[[], DataFrame]]]) -> D
             df = read()
             if not df.isEmpty():
                 return df.withColumn("data_quality", F.lit(tag)) if tag else df
-        except Exception as e:  # noqa: BLE001 — a failing source falls through to the next
+        except (AnalysisException, Py4JJavaError, OSError) as e:  # a source that can't be read; a bug is raised
+            log.warning("source %s can't be read, trying the next: %s", tag, str(e)[:200])
             last_err = e
     raise RuntimeError(f"no source produced rows (last error: {last_err})")
 
