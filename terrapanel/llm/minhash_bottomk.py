@@ -1,23 +1,28 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 Method: a document's set of word shingles is hashed once; the sketch retains the
-``K`` smallest hashes.  Inverted lists of retained values generate candidate
-pairs, the sketch of the union estimates their similarity and filters them, and
-links are confirmed by exact Jaccard similarity of the full sets.
+``K`` smallest hashes.  Inverted lists of retained values generate the overlaps,
+the sketch of the union estimates a pair's similarity and filters, and links are
+confirmed by exact Jaccard similarity of the full sets.
 
 What keeps this linear where lists are long:
 
 * equal sets are one class and are compared once;
-* linked documents must share at least ``shared_floor(size)`` retained values
-  (six standard deviations under the expectation at the threshold), so each
-  document enters only the lists of its rarest ``size - floor + 1`` values: a
-  passage that many otherwise different documents share opens no list;
+* linked documents share at least ``shared_floor(size)`` retained values (five
+  standard deviations under the expectation at the threshold), so a document
+  with fewer values that any other document retains has no link and enters no
+  list: a passage that many otherwise different documents share opens none;
+* the others enter the lists of their ``LISTED`` smallest values only.  Each of
+  the smallest values of a linked pair's union is shared with a chance of 0.75
+  or more, so a pair without a common list has a chance of 0.25 ** LISTED;
 * round 1 compares every document of a list with the list's smallest id only;
   confirmed links join into components, which settles groups of copies in one
   comparison per document;
 * round 2 takes the lists that still hold several components, deals them to
   blocks of at most about ``2 * SIDE`` documents, and compares every pair of
-  different components there; a block returns only pairs that pass the filter.
+  different components there by sketches of ``WIDE`` values.  Sets that fit
+  their sketch are compared exactly; of their links a block returns one for
+  each two components.
 
 No pair is capped or dropped: round 2 covers all that round 1 leaves.
 """
@@ -32,13 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm.common import grouped, long_list, materialize, tiles
-from terrapanel.llm.components import components
+from terrapanel.llm.components import components, merge_components
 
 WORDS = 5
 K = 64
+#: Retained values whose lists a document enters; size of the sketches that filter pairs.
+LISTED, WIDE = 12, 256
+#: Standard deviations between the expected overlap at the threshold and the filter.
+SIGMAS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-SIDE = 512
+SIDE = 1024
 #: Fixed odd multipliers of the shingle hash.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
@@ -68,9 +77,15 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
 
 
 def shared_floor(size: Column) -> Column:
-    """Retained values that linked documents share, by the sketch size: six standard deviations below the mean."""
+    """Values of a union sketch of this size that linked documents share, ``SIGMAS`` standard deviations below the mean."""
     p = PERCENT / 100
-    return F.greatest(F.lit(1), F.floor(size * p - 6 * F.sqrt(size * (p * (1 - p))))).cast("int")
+    return F.greatest(F.lit(1), F.floor(size * p - SIGMAS * F.sqrt(size * (p * (1 - p))))).cast("int")
+
+
+def shared_floor_of(size: np.ndarray) -> np.ndarray:
+    """``shared_floor`` for arrays."""
+    p = PERCENT / 100
+    return np.maximum(1, np.floor(size * p - SIGMAS * np.sqrt(size * (p * (1 - p)))))
 
 
 def _sketches(words: int, k: int):
@@ -96,26 +111,52 @@ def _sets(words: int):
     return run
 
 
-def union_estimate(a: str, b: str, k: int = K) -> Column:
-    """Values shared by both sketches among the ``k`` smallest of their union, less what chance allows; >= 0 passes."""
-    low = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
-    size = F.size(low)
-    shared = F.size(F.array_intersect(F.array_intersect(low, F.col(a)), F.col(b)))
-    return shared - shared_floor(size)
+def union_passes(a: Column, b: Column, k: int) -> Column:
+    """Whether enough of the ``k`` smallest values of the union are in both of two sorted sets."""
+    low_a, low_b = F.slice(a, 1, k), F.slice(b, 1, k)
+    low = F.slice(F.array_sort(F.array_union(low_a, low_b)), 1, k)
+    return F.size(F.array_intersect(low, F.array_intersect(low_a, low_b))) >= shared_floor(F.size(low))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Pairs (u, v) with 100 * intersection >= PERCENT * union of the full sets."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, items array<long>"), "nd_sets")
+def confirm(pairs: DataFrame, sets: DataFrame, k: int = WIDE) -> DataFrame:
+    """Pairs (u, v) that pass the union sketch and have 100 * intersection >= PERCENT * union of the full sets."""
     both = (pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("items").alias("a")), "u")
             .join(sets.select(F.col("doc_id").alias("v"), F.col("items").alias("b")), "v")
+            .filter(union_passes(F.col("a"), F.col("b"), k))
             .withColumn("same", F.size(F.array_intersect("a", "b"))))
     return materialize(both.filter(100 * F.col("same") >= PERCENT * (F.size("a") + F.size("b") - F.col("same")))
                        .select("u", "v").distinct(), "nd_links")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K) -> DataFrame:
+def block_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, flat: np.ndarray, lens: np.ndarray, ok: np.ndarray, wide: int) -> Iterator[tuple[int, int]]:
+    """Candidate pairs (row, row) among ``ok`` of one block; ``flat`` holds the rows' sorted sketches one after another."""
+    own = np.repeat(np.arange(len(doc)), lens)
+    _, at, often = np.unique(flat, return_inverse=True, return_counts=True)
+    dense, keep = np.cumsum(often > 1) - 1, often[at] > 1
+    marks = np.zeros((len(doc), max(1, int((often > 1).sum()))), dtype=np.float32)
+    marks[own[keep], dense[at[keep]]] = 1
+    shared = (marks @ marks.T).astype(np.int64)
+    whole = n <= wide
+    exact = whole[:, None] & whole[None, :]
+    link = ok & exact & (100 * shared >= PERCENT * (n[:, None] + n[None, :] - shared))
+    i, j = np.nonzero(link)
+    if len(i):  # exact links: one for each two components
+        two = np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])])
+        _, first = np.unique(two, axis=1, return_index=True)
+        yield from zip(i[first].tolist(), j[first].tolist(), strict=True)
+    floor = shared_floor_of(lens)
+    i, j = np.nonzero(ok & ~exact & (shared >= np.minimum(floor[:, None], floor[None, :])))
+    start = np.cumsum(lens) - lens
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = (flat[start[r]:start[r] + lens[r]] for r in (x, y))
+        low = np.union1d(a, b)[:wide]
+        both = np.intersect1d(a, b)
+        if np.searchsorted(both, low[-1], side="right") >= shared_floor_of(np.array(len(low))):
+            yield x, y
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K,
+                    listed: int = LISTED, wide: int = WIDE) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of 0.75 or more.
 
     Returns one row per row of ``df``: doc_id, ``n_shingles`` (size of its set),
@@ -137,75 +178,60 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = rows.filter("n > 0").select("doc_id", "n", "digest").join(classes, "digest", "left")
     named = materialize(named.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "nd_named")
 
-    # inverted lists of retained values that several rows hold, rarest first in each document
-    held = rows.filter("n > 0 and doc_id is not null").select("doc_id", F.explode("sketch").alias("value"))
-    often = materialize(held.groupBy("value").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "nd_values")
-    common = held.join(often, "value")
-    mine = common.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("rows", "value"))).alias("values"))
+    # inverted lists: values that several rows retain, of documents with enough of them
+    held = rows.filter("n > 0 and doc_id is not null").select("doc_id", F.posexplode("sketch").alias("pos", "value"))
+    often = materialize(held.groupBy("value").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("value"), "nd_values")
+    mine = held.join(often, "value").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("common"),
+        F.collect_set(F.when(F.col("pos") < listed, F.col("value"))).alias("values"))
     reps = named.filter("doc_id = rep").select("doc_id", "n").distinct()
-    size = F.least("n", F.lit(k))
     lists = materialize(
-        mine.join(reps, "doc_id")
-        .withColumn("take", F.size("values") - shared_floor(size) + 1).filter("take > 0")
-        .select("doc_id", "n", F.explode(F.expr("slice(values, 1, take)")).alias("e"))
-        .select("doc_id", "n", "e.value"), "nd_lists")
-    sketches = rows.select("doc_id", "sketch").join(lists.select("doc_id").distinct(), "doc_id", "left_semi")
-    sketches = materialize(sketches.dropDuplicates(["doc_id"]), "nd_listed")
-
-    # round 1: every document of a list with the smallest id of the list
+        mine.join(reps, "doc_id").filter(F.col("common") >= shared_floor(F.least("n", F.lit(k))))
+        .select("doc_id", "n", F.explode("values").alias("value")), "nd_lists")
     first = materialize(lists.groupBy("value").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("members"))
                         .filter("members > 1"), "nd_firsts")
+    lists = materialize(lists.join(first.select("value"), "value"), "nd_lists")
+    ids = materialize(lists.select("doc_id").distinct(), "nd_ids")
+    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, items array<long>"), "nd_sets")
+
+    # round 1: every document of a list with the smallest id of the list
     star = (lists.join(first, "value").filter("doc_id <> first.doc_id")
             .filter(100 * F.least("n", F.col("first.n")) >= PERCENT * F.greatest("n", F.col("first.n")))
             .select(F.col("first.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct())
-    star = (star.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), "u")
-            .join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b")), "v")
-            .filter(union_estimate("a", "b", k) >= 0).select("u", "v"))
-    links = _confirm(materialize(star, "nd_star"), docs, words)
+    links = confirm(materialize(star, "nd_star"), sets, wide)
     known = components(links).withColumnRenamed("node", "doc_id")
 
     # round 2: what is left between components
     part = materialize(lists.join(known, "doc_id", "left").select("value", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")), "nd_parts")
     mixed = materialize(part.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
                         .filter("low < high").select("value", "members"), "nd_mixed")
-    dealt = tiles(part, "value", F.col("doc_id"), mixed, SIDE).join(sketches, "doc_id")
+    # the upper halves of the smallest hashes: in order, and distinct enough to filter by
+    small = sets.select("doc_id", F.transform(F.slice("items", 1, wide), lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"))
+    dealt = tiles(part, "value", F.col("doc_id"), mixed, SIDE).join(small, "doc_id")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["value", "tile_i", "tile_j"]):
             doc, comp, n = (np.asarray(t[c]) for c in ("doc_id", "comp", "n"))
             ok = comp[:, None] != comp[None, :]
             ok &= doc[:, None] < doc[None, :]
-            low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-            ok &= 100 * low >= PERCENT * high
+            ok &= 100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :])
             if t["tile_i"][0].as_py() != t["tile_j"][0].as_py():
                 chunk = np.asarray(t["chunk"])
                 ok &= chunk[:, None] != chunk[None, :]
             if not ok.any():
                 continue
             col = t["sketch"].combine_chunks()
-            flat = np.asarray(col.flatten())
-            lens = np.diff(np.asarray(col.offsets))
-            own = np.repeat(np.arange(len(doc)), lens)
-            _, at, often = np.unique(flat, return_inverse=True, return_counts=True)
-            dense = np.cumsum(often > 1) - 1
-            keep = often[at] > 1
-            marks = np.zeros((len(doc), max(1, int((often > 1).sum()))), dtype=np.float32)
-            marks[own[keep], dense[at[keep]]] = 1
-            shared = marks @ marks.T
-            floor = np.maximum(1, np.floor(lens * (PERCENT / 100) - 6 * np.sqrt(lens * (PERCENT / 100 * (1 - PERCENT / 100)))))
-            ok &= shared >= np.minimum(floor[:, None], floor[None, :])
-            i, j = np.nonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(doc[j])], ["u", "v"])
+            flat, lens = np.asarray(col.flatten()), np.diff(np.asarray(col.offsets))
+            pairs = list(block_pairs(doc, comp, n, flat, lens, ok, wide))
+            if pairs:
+                i, j = np.array(pairs).T
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(doc[j])], ["u", "v"])
 
     more = (dealt.select("value", "tile_i", "tile_j", "chunk", "doc_id", "n", "comp", "sketch")
             .repartition("value", "tile_i", "tile_j").sortWithinPartitions("value", "tile_i", "tile_j")
             .mapInArrow(blocks, "u long, v long").distinct())
-    more = (more.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), "u")
-            .join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b")), "v")
-            .filter(union_estimate("a", "b", k) >= 0).select("u", "v"))
-    links2 = _confirm(materialize(more, "nd_more"), docs, words)
-    comp = components(known.select(F.col("doc_id").alias("u"), F.col("component").alias("v")).union(links2))
-    comp = materialize(comp, "nd_comp")
+    links2 = confirm(materialize(more, "nd_more"), sets, wide)
+    comp = merge_components(known.withColumnRenamed("doc_id", "node"), links2)
     out = named.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
     out = out.unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
