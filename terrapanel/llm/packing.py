@@ -3,6 +3,7 @@
 Method: a bin is filled greedily with the longest unpacked pieces that still
 fit; then its smallest piece is replaced by the two unpacked pieces that fill
 the expanded gap more tightly, again and again while that narrows the gap.
+Pieces under a sixth of a sequence are kept for the gaps that remain.
 
 Pieces are dealt by hash to shards of about ``SHARD`` pieces; one task packs a
 shard from lengths alone, so its memory is bounded whatever the document sizes.
@@ -13,7 +14,7 @@ pieces dealt to fewer shards, level by level, until one shard is left.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from terrapanel.llm.common import grouped, materialize, worker_state
 CAPACITY = 4096
 SHARD = 8192
 LOOSE = 64
+#: Pieces of at most this part of a sequence are packed last, by best fit.
+SMALL = 6
 LEVELS = 12
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids by a Python worker, and the longest such word.
@@ -116,16 +119,20 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             .mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids))
 
 
-def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin of each piece, room left in each bin); lengths are 1 to ``capacity``."""
-    order = np.argsort(lengths, kind="stable")
+def best_two_fit(lengths: np.ndarray, capacity: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """(bin of each piece, room left in each bin); lengths are 1 to ``capacity``.
+
+    Pieces over ``capacity / small`` fill bins greedily with two-for-one
+    replacements; the shorter ones then go, longest first, to the bin that they
+    fit most tightly, and into new bins when they fit none.  Were short pieces
+    spent on replacements, long ones would be left without any.
+    """
     of: dict[int, list[int]] = {}
-    for i in order.tolist():
+    for i in np.argsort(-lengths, kind="stable").tolist()[::-1]:
         of.setdefault(int(lengths[i]), []).append(i)
+    sizes = sorted(n for n in of if n * small > capacity)
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for n, own in of.items():
-        counts[n] = len(own)
-    sizes = sorted(of)
+    counts[sizes] = [len(of[n]) for n in sizes]
     bins, room = np.empty(len(lengths), dtype=np.int64), []
 
     def take(n: int) -> int:
@@ -147,7 +154,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
             n = sizes[k - 1]
             own.append(take(n))
             gap -= n
-        while gap and sizes:
+        while gap and sizes and len(own) > 1:
             least = int(lengths[own[-1]])
             have = np.asarray(sizes[:bisect_right(sizes, gap + least - 1)])
             if not have.size:
@@ -166,6 +173,19 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
             gap += least - sum(pair)
         bins[own] = len(room)
         room.append(gap)
+    gaps = sorted((g, -b) for b, g in enumerate(room) if g)
+    for n in sorted((n for n in of if n * small <= capacity), reverse=True):
+        for i in reversed(of[n]):
+            k = bisect_left(gaps, (n, -len(room)))
+            if k == len(gaps):
+                gap, b = capacity, len(room)
+                room.append(capacity)
+            else:
+                gap, b = gaps.pop(k)
+                b = -b
+            bins[i], room[b] = b, gap - n
+            if room[b]:
+                insort(gaps, (room[b], -b))
     return bins, np.array(room, dtype=np.int64)
 
 
