@@ -47,7 +47,7 @@ LISTED, WIDE = 12, 256
 SIGMAS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-SIDE = 1024
+SIDE = 768
 #: Fixed odd multipliers of the shingle hash.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
@@ -82,12 +82,6 @@ def shared_floor(size: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(size * p - SIGMAS * F.sqrt(size * (p * (1 - p))))).cast("int")
 
 
-def shared_floor_of(size: np.ndarray) -> np.ndarray:
-    """``shared_floor`` for arrays."""
-    p = PERCENT / 100
-    return np.maximum(1, np.floor(size * p - SIGMAS * np.sqrt(size * (p * (1 - p)))))
-
-
 def _sketches(words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -128,31 +122,38 @@ def confirm(pairs: DataFrame, sets: DataFrame, k: int = WIDE) -> DataFrame:
                        .select("u", "v").distinct(), "nd_links")
 
 
-def block_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, flat: np.ndarray, lens: np.ndarray, ok: np.ndarray, wide: int) -> Iterator[tuple[int, int]]:
-    """Candidate pairs (row, row) among ``ok`` of one block; ``flat`` holds the rows' sorted sketches one after another."""
-    own = np.repeat(np.arange(len(doc)), lens)
+def overlap_floor(small: np.ndarray, large: np.ndarray, wide: int) -> np.ndarray:
+    """Values that the sketches of linked sets share, by the sets' sizes.
+
+    Of the larger set's sketch, the smaller set holds a share of
+    intersection / large; at the threshold that is p / (1 + p) * (1 + small / large).
+    """
+    p = PERCENT / 100
+    share = p / (1 + p) * (1 + small / large)
+    size = np.minimum(large, wide)
+    return np.maximum(1, np.floor(size * share - SIGMAS * np.sqrt(size * share * (1 - share))))
+
+
+def block_pairs(comp: np.ndarray, n: np.ndarray, flat: np.ndarray, lens: np.ndarray, ok: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (rows, rows) among ``ok`` of one block; ``flat`` holds the rows' sorted sketches one after another."""
+    own = np.repeat(np.arange(len(n)), lens)
     _, at, often = np.unique(flat, return_inverse=True, return_counts=True)
     dense, keep = np.cumsum(often > 1) - 1, often[at] > 1
-    marks = np.zeros((len(doc), max(1, int((often > 1).sum()))), dtype=np.float32)
+    marks = np.zeros((len(n), max(1, int((often > 1).sum()))), dtype=np.float32)
     marks[own[keep], dense[at[keep]]] = 1
-    shared = (marks @ marks.T).astype(np.int64)
+    shared = marks @ marks.T  # whole numbers, at most ``wide``
+    size = n.astype(np.float32)
+    both = size[:, None] + size[None, :]
     whole = n <= wide
     exact = whole[:, None] & whole[None, :]
-    link = ok & exact & (100 * shared >= PERCENT * (n[:, None] + n[None, :] - shared))
-    i, j = np.nonzero(link)
+    i, j = np.nonzero(ok & exact & (100 * shared >= PERCENT * (both - shared)))
     if len(i):  # exact links: one for each two components
         two = np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])])
         _, first = np.unique(two, axis=1, return_index=True)
-        yield from zip(i[first].tolist(), j[first].tolist(), strict=True)
-    floor = shared_floor_of(lens)
-    i, j = np.nonzero(ok & ~exact & (shared >= np.minimum(floor[:, None], floor[None, :])))
-    start = np.cumsum(lens) - lens
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = (flat[start[r]:start[r] + lens[r]] for r in (x, y))
-        low = np.union1d(a, b)[:wide]
-        both = np.intersect1d(a, b)
-        if np.searchsorted(both, low[-1], side="right") >= shared_floor_of(np.array(len(low))):
-            yield x, y
+        i, j = i[first], j[first]
+    x, y = np.nonzero(ok & ~exact & (shared > 0))
+    near = shared[x, y] >= overlap_floor(np.minimum(n[x], n[y]), np.maximum(n[x], n[y]), wide)
+    return np.concatenate([i, x[near]]), np.concatenate([j, y[near]])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K,
@@ -222,9 +223,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 continue
             col = t["sketch"].combine_chunks()
             flat, lens = np.asarray(col.flatten()), np.diff(np.asarray(col.offsets))
-            pairs = list(block_pairs(doc, comp, n, flat, lens, ok, wide))
-            if pairs:
-                i, j = np.array(pairs).T
+            i, j = block_pairs(comp, n, flat, lens, ok, wide)
+            if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(doc[j])], ["u", "v"])
 
     more = (dealt.select("value", "tile_i", "tile_j", "chunk", "doc_id", "n", "comp", "sketch")
