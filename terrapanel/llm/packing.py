@@ -13,6 +13,7 @@ pieces dealt to fewer shards, level by level, until one shard is left.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -32,8 +33,11 @@ LOOSE = 64
 SMALL = 6
 LEVELS = 12
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept with their ids by a Python worker, and the longest such word.
-CACHED_WORDS, CACHED_LENGTH = 300_000, 48
+#: Words kept with their ids by a Python worker, and the longest such word: some 300 MB at most.
+CACHED_WORDS, CACHED_LENGTH = 1_000_000, 48
+PRINTABLE = re.compile("[!-~]+").fullmatch
+#: Fixed value: the vocabulary's pre-tokenizer pattern, for lower-case ASCII.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
 class WordIds:
@@ -51,10 +55,31 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.model = self.tokenizer.model
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of new words.
+
+        Printable ASCII needs no normaliser but lower case, and its bytes stand
+        for themselves: the pre-tokenizer's pattern cuts it into parts, which the
+        model encodes.  Other words, and those with a special token in them, go
+        through the whole tokenizer.
+        """
+        rest = []
+        for w in words:
+            if len(w) > CACHED_LENGTH or not PRINTABLE(w) or "<|" in w:
+                rest.append(w)
+                continue
+            parts = PARTS(w.lower())
+            for x in parts:
+                if x not in self.parts:
+                    self.parts[x] = np.array([t.id for t in self.model.tokenize(x)], dtype="<u4").tobytes()
+            yield w, b"".join([self.parts[x] for x in parts])
+        yield from zip(rest, self._encode(rest), strict=True)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -62,17 +87,17 @@ class WordIds:
             part = texts[s:s + 64]
             words = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in part]
             new = set().union(*(w for w in words if w is not None)).difference(self.known)
-            once = {}
             if new:
                 if len(self.known) + len(new) > CACHED_WORDS:
                     self.known.clear()
+                    self.parts.clear()
                     new = set().union(*(w for w in words if w is not None))
-                order = list(new)
-                for w, ids in zip(order, self._encode(order), strict=True):
-                    (self.known if len(w) <= CACHED_LENGTH else once)[w] = ids
-            table = self.known | once if once else self.known
+                self.known.update(self._words(list(new)))
             for t, w in zip(part, words, strict=True):
-                yield self._encode([t])[0] if w is None else b"".join(map(table.__getitem__, w))
+                yield self._encode([t])[0] if w is None else b"".join(map(self.known.__getitem__, w))
+            for w in new:  # long words rarely come again
+                if len(w) > CACHED_LENGTH:
+                    del self.known[w]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
