@@ -14,8 +14,9 @@ again, level by level, as a reduction tree.  When a long document meets a short
 one, the short one settles first, so the last unsettled document of a source
 would be among its longest and its draw would miss the target by much.  So a
 source's documents are rounded in strata by size, longest first, and what the
-last draw of a stratum missed is spread over the fractions of the next.  Only DataFrame operations run, no
-group is large, and all draws are hashes of ids, so reruns agree.
+last draw of a stratum missed is spread over the fractions of the next.  Strata
+are cut at exact quantiles.  Only DataFrame operations run, no group is large,
+and all draws are hashes of ids, so reruns agree.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrapanel.llm.common import WORD, materialize, with_row
+from terrapanel.operators.rank import value_ranks
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, LIMIT = 1.5, 2.0
@@ -148,6 +150,13 @@ def round_fractions(docs: DataFrame, group: int = GROUP, seed: int = SEED) -> Da
             return out.unionByName(left.select("source", "item.key", "item.size", "item.whole", one.alias("one")))
 
 
+def size_cuts(sizes: DataFrame, strata: tuple[float, ...] = STRATA) -> DataFrame:
+    """(source, size) -> (source, cuts): the smallest size that a share of ``strata`` of the source's rows does not exceed, exactly."""
+    ranks = value_ranks(sizes, "source", "size")
+    up_to = F.col("before") + F.col("n")
+    return ranks.groupBy("source").agg(F.array(*[F.min(F.when(up_to >= F.lit(q) * F.col("grp_n"), F.col("size"))) for q in strata]).alias("cuts"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, group: int = GROUP, seed: int = SEED,
         strata: tuple[float, ...] = STRATA) -> DataFrame:
@@ -176,10 +185,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sure = (F.col("item.p") < SETTLED) | (F.col("item.size") == 0)
     out = rows.filter(sure).select("source", "item.key", "item.size", "item.whole", F.lit(0).alias("one"))
     fractional = rows.filter(~sure)
-    per = fractional.groupBy("source").agg(
-        F.expr(f"percentile_approx(item.size, array({', '.join(map(str, strata))}), 1000)").alias("cuts"),
-        F.sum(F.col("item.size") * F.col("item.p")).alias("mass"))
-    per = materialize(per.withColumnRenamed("source", "s"), "mix_strata")
+    # one fraction a source, times a whole sum: the mass does not depend on the order of rows
+    per = fractional.groupBy("source").agg((F.sum("item.size") * F.max("item.p")).alias("mass")).withColumnRenamed("source", "s")
+    cuts = size_cuts(fractional.select("source", "item.size"), strata)
+    per = materialize(per.join(cuts, match).select("s", "mass", "cuts"), "mix_strata")
     over = F.size(F.filter("cuts", lambda c: F.col("item.size") <= c))  # 0: over every cut
     fractional = materialize(fractional.join(per.select("s", "cuts"), match).select("source", "item", over.alias("stratum")), "mix_open")
     sizes = fractional.groupBy("source").pivot("stratum", list(range(len(strata) + 1))).agg(F.sum("item.size"))

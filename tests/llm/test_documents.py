@@ -176,6 +176,20 @@ def test_mix(spark):
     assert pivotal_mix.mix(df.filter("doc_id in (1000, 1001)")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mix_of_a_large_source_is_the_same_under_any_partitioning(spark):
+    """Over 100,000 rows a sketch of the size quantiles would depend on how the rows lie."""
+    rnd = np.random.default_rng(3)  # the 0.9 cut lies where sizes are sparse: a sketch's error moves it
+    sizes = np.where(rnd.random(110_000) < 0.88, rnd.integers(1, 20, 110_000), rnd.integers(500, 1500, 110_000)).tolist()
+    df = spark.createDataFrame([(i, n, "big" if i % 11 else None) for i, n in enumerate(sizes)], "doc_id long, n int, source string")
+    cuts = {r.source: r.cuts for r in pivotal_mix.size_cuts(df.select("source", F.col("n").alias("size"))).collect()}
+    for source in ("big", None):
+        own = [n for i, n in enumerate(sizes) if bool(i % 11) == bool(source)]
+        assert cuts[source] == np.quantile(own, pivotal_mix.STRATA, method="inverted_cdf").tolist()
+    df = df.select("doc_id", F.expr("repeat('w ', n)").alias("text"), "source")
+    a, b = (pivotal_mix.mix(x).select("doc_id", "copies") for x in (df.repartition(3, "doc_id"), df.orderBy(F.length("text")).coalesce(2)))
+    assert a.count() == len(sizes) and a.exceptAll(b).count() == 0
+
+
 def test_rounding_keeps_expectations(spark):
     """Over many seeds each document is taken as often as its fraction says, and the words never move by more than one document."""
     rows = [(i, 10 + 30 * (i % 7)) for i in range(40)]
