@@ -9,7 +9,9 @@ sentences stand between.
 
 A text is cut in two ways, by lines and by full stops with line ends as blanks,
 since notices stand on lines of their own and licence texts are wrapped; a rule
-may match either sequence.
+may match either sequence.  The cut by stops parts some known sentences too:
+their parts are known sentences, counted each, with rules of their own.  SPDX
+tags are found on lines of their own only.
 
 Only DataFrame operations run.  Sentences are exploded where the text is read
 and meet the table of known sentences, of fixed size, in a broadcast join; only
@@ -62,6 +64,12 @@ SENTENCES = (
     ("spdx_apache2", "SPDX-License-Identifier: Apache-2.0"),
     ("spdx_bsd3", "SPDX-License-Identifier: BSD-3-Clause"),
     ("spdx_gpl3_only", "SPDX-License-Identifier: GPL-3.0-only"),
+    # what the cut by stops makes of sentences with such marks inside; the rest of mpl2_notice, "2.0.", says nothing alone
+    ("gpl_free_part", "This program is free software:"),
+    ("gpl_redistribute_part", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl_hope_part", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"),
+    ("gpl_implied_part", "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("mpl2_notice_part", "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
 )
 
 #: Rules: (licence, identifiers in order).
@@ -84,7 +92,9 @@ RULES = (
     ("GPL-3.0", ("gpl3_notice",)),
     ("GPL-3.0", ("spdx_gpl3_only",)),
     ("GPL-3.0", ("gpl_redistribute", "gpl_hope", "gpl_details")),
+    ("GPL-3.0", ("gpl_free_part", "gpl_redistribute_part", "gpl_hope_part", "gpl_implied_part", "gpl_details")),
     ("MPL-2.0", ("mpl2_notice", "mpl2_obtain")),
+    ("MPL-2.0", ("mpl2_notice_part", "mpl2_obtain")),  # the version stands in the second sentence too
     ("CC-BY-4.0", ("cc_by_notice",)),
     ("CC-BY-SA-4.0", ("cc_by_sa_notice",)),
     ("CC-BY-NC-4.0", ("cc_by_nc_notice",)),

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 import zlib
 
 import brute
@@ -259,3 +260,21 @@ def test_licenses(spark):
     assert got == sorted([("1", ["MIT"], 1), ("2", ["MIT"], 5), ("3", ["BSD-2-Clause"], 3), ("4", ["BSD-3-Clause"], 4), ("5", [], 2),
                           ("6", [], 0), ("7", [], 0), ("8", [], 0), ("9", ["CC-BY-NC-4.0", "GPL-3.0"], 2), ("9", [], 0), ("None", ["MIT"], 1)])
     assert license_scan.scan(table(spark, [])).collect() == []
+
+
+def test_every_license_rule_matches_its_notice(spark):
+    """On one line, wrapped, and wrapped in a comment; a tag stands on its own line."""
+    known, rows, want = dict(license_scan.SENTENCES), [], []
+    rests = {"mpl2_notice_part": " 2.0."}
+    for name, ids in license_scan.RULES:
+        text = "".join(known[i] + rests.get(i, "") + (" " if known[i][-1] in ".:;" else "\n\n") for i in ids).strip()
+        parts = text.split("\n\n")
+        wrapped = "\n\n".join(textwrap.fill(x, 70, break_on_hyphens=False, break_long_words=False) for x in parts)
+        for t in (text, wrapped, textwrap.indent(wrapped, " * ")):
+            rows.append((len(rows), t, "a"))
+            want.append(name)
+    got = {r.doc_id: r.licenses for r in license_scan.scan(table(spark, rows)).collect()}
+    assert [(i, rows[i][1]) for i, name in enumerate(want) if got[i] != [name]] == []
+    # the older version's notice holds most of the same sentences
+    gpl2 = " ".join(known[i] for i in ("gpl_redistribute", "gpl_hope", "gpl_details")).replace("version 3", "version 2").replace("software:", "software;")
+    assert [r.licenses for r in license_scan.scan(table(spark, [(1, gpl2, "a")])).collect()] == [[]]
