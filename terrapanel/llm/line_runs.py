@@ -78,11 +78,16 @@ def _key_columns(id_col: str, text_col: str) -> dict[str, Column]:
 
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(did, tag, pos, h1, h2): every line whose key has at least ``min_chars`` code points, by a 128-bit hash of the key."""
+    """(did, tag, pos, h1, h2): every line whose key has at least ``min_chars`` code points, by a 128-bit hash of the key.
+
+    The hash of one argument is the seed of the next: with the constant first,
+    h2 runs over the key with a seed of its own; with the key first it would
+    follow from h1.
+    """
     lines = docs.select(*[c.alias(k) for k, c in _key_columns(id_col, text_col).items()])
     return (lines.select("did", "tag", F.posexplode("lines").alias("pos", "line"))
             .withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars)
-            .select("did", "tag", "pos", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit("2")).alias("h2")))
+            .select("did", "tag", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("2"), "key").alias("h2")))
 
 
 def dedup_batch(hashes: DataFrame, store: LineRuns) -> DataFrame:

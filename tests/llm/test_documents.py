@@ -97,6 +97,29 @@ def test_line_runs_null_and_repeated_ids(spark):
     assert line_runs.dedup_lines(table(spark, [])).collect() == []
 
 
+def test_line_hash_is_as_wide_as_both_halves(spark):
+    """Two different lines with one 64-bit hash (made by undoing its last round) both stay."""
+    import xxhash
+
+    bits = (1 << 64) - 1
+    p1, p2, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    turn = lambda x, n: (x << n | x >> (64 - n)) & bits
+    lane = lambda k: turn(k * p2 & bits, 31) * p1 & bits
+    after = lambda k: (turn((42 + p5 + 16 & bits) ^ lane(k), 27) * p1 + p4) & bits
+    undo = lambda x: turn(x * pow(p1, -1, 1 << 64) & bits, 33) * pow(p2, -1, 1 << 64) & bits
+    a, rnd, other = b"line one", random.Random(1), b""
+    fine = set(b"abcdefghijklmnopqrstuvwxyz0123456789!#$%&'()*+,-./:;<=>?@[]^_{|}~")
+    n = lambda raw: int.from_bytes(raw, "little")
+    while not other or not set(other) <= fine:
+        b = bytes(rnd.choices(b"abcdefghijklmnopqrstuvwxyz", k=8))
+        other = undo(after(n(a)) ^ after(n(b)) ^ lane(n(b" is here"))).to_bytes(8, "little")
+    x, y = a + b" is here", b + other
+    assert x != y and xxhash.xxh64_intdigest(x, 42) == xxhash.xxh64_intdigest(y, 42)
+    rows = [(1, x.decode(), "a"), (2, y.decode(), "a"), (3, x.decode(), "a")]
+    got = line_runs.dedup_lines(table(spark, rows)).select("row.doc_id", "n_dropped").collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (2, 0), (3, 1)]
+
+
 def test_line_store_levels(spark):
     store = line_runs.LineRuns(spark, fanout=2)
     for i in range(5):
