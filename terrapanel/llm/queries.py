@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapanel.llm import (
-    embed_neardup, license_scan, line_runs, minhash_bottomk, packing, pairwise_quality, pivot_search, pivotal_mix, preference_chat, warc,
+    conversation_repair, embed_neardup, hard_negatives, license_scan, line_runs, minhash_bottomk, packing, pairwise_quality, pivot_search,
+    pivotal_mix, preference_chat, secret_layers, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,3 +240,118 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = pairwise_quality.score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
     return scored.select("doc_id", pairwise_quality.held_out().alias("held_out"), "score",
                          (F.col("score") >= pairwise_quality.CUT).cast("int").alias("predicted"))
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = _table(spark, sf_dir, "conversations")
+    done = conversation_repair.repair(conversation_repair.damage(whole))
+    key = conversation_repair.conv_key(F.col("conv_id")).alias("c")
+    out = whole.select("conv_id", key).distinct()
+    out = out.join(done.report.select("*", key).drop("conv_id"), "c", "left")
+    out = out.join(conversation_repair.digests(done).select(key, "repaired_sha256"), "c", "left")
+    zero = [F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def _plus(way: str, cost: str, edit: str) -> str:
+    """A way, nine digits of cost before its audit, with one more edit; null stays null."""
+    return f"(lpad((substr({way}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({way}, 10) || '{edit}')"
+
+
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda ch: ord(ch)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384 + 0 * y))), 4294967295)"""
+_INSERTED = f"""least(u, {_plus('e', '5', 'I')}, {_plus('s', '5', 'I')}, {_plus('a', '5', 'I')})"""
+ORACLES["op12_conversation_repair"] = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM raw WHERE d <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role)::VARCHAR || ':' || role || text), copy) AS i FROM damaged),
+f AS (
+  SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS ini, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut FROM o),
+g AS (
+  SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND cut AS truncated, blank OR again AS gone,
+         CASE WHEN cut THEN 5 ELSE 0 END AS more, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM f),
+ways(conv_id, i, e, s, u, a) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '000000000', NULL::VARCHAR, {_plus("'000000000'", '5', 'I')}, {_plus("'000000000'", '10', 'II')} FROM g
+  UNION ALL
+  SELECT conv_id, i, e, s, u, least(a, {_plus('u', '5', 'I')}) FROM (
+    SELECT conv_id, i, e, s, {_INSERTED} AS u, a FROM (
+      SELECT g.conv_id, g.i, {_plus('w.e', '2', 'D')} AS e,
+        least({_plus('w.s', '2', 'D')}, CASE WHEN NOT gone AND ini = 's' THEN {_plus('w.e', 'more', 'K')} END) AS s,
+        least({_plus('w.u', '2', 'D')},
+          CASE WHEN NOT gone AND ini = 'u' THEN least({', '.join(_plus(f'w.{x}', 'more', 'K') for x in 'esa')})
+               WHEN NOT gone THEN least({', '.join(_plus(f'w.{x}', 'more + 1', 'R') for x in 'esa')}) END) AS u,
+        least({_plus('w.a', '2', 'D')},
+          CASE WHEN NOT gone AND ini = 'a' THEN {_plus('w.u', 'more', 'K')} WHEN NOT gone THEN {_plus('w.u', 'more + 1', 'R')} END) AS a
+      FROM ways w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1))),
+ends AS (
+  SELECT conv_id, substr(w, 1, 9)::BIGINT AS cost, substr(w, 10) AS audit
+  FROM (SELECT conv_id, arg_max(least(e, a), i) AS w FROM ways GROUP BY conv_id)),
+letters AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(1, length(audit) + 1)) AS k FROM ends WHERE audit <> ''),
+placed AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS n
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+kept AS (
+  SELECT p.conv_id, p.k, p.n, p.edit, g.role, CASE WHEN p.edit = 'I' THEN '' ELSE g.text END AS text,
+         max((p.edit = 'K' AND g.ini = 's')::INT) OVER (PARTITION BY p.conv_id) AS off
+  FROM placed p LEFT JOIN g ON p.edit <> 'I' AND g.conv_id IS NOT DISTINCT FROM p.conv_id AND g.i = p.i WHERE p.edit <> 'D'),
+hashes AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (n - off) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k)) AS h
+  FROM kept GROUP BY conv_id),
+stats AS (
+  SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN hashes ON hashes.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@_query
+def op13_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_layers.scan(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", *[count(k) for k in secret_layers.KINDS], F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
+                        listed("spans").alias("spans"), "unread")
+
+
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, min(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label,
+         any_value(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id AS other, q.label = c.label AS same, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS r FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  WHERE r <= 5 AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
