@@ -9,6 +9,8 @@ and AQE broadcasts them only when their measured size allows.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from terrapanel.functions.clean import relative_change
@@ -18,11 +20,14 @@ from terrapanel.registry import Dataset
 ANOMALY = "struct<column:string,previous_value:double,new_value:double,relative_change:double,tolerance:double>"
 
 
-def compare(new: DataFrame, previous: DataFrame | None, ds: Dataset, tolerance: float | None = None) -> DataFrame:
+def compare(new: DataFrame, previous: DataFrame | None, ds: Dataset, tolerance: float | Mapping[str, float] | None = None) -> DataFrame:
     """New rows with ``_anomalies``: one entry per check column whose relative
     change is *strictly* greater than the tolerance.  Null, missing previous and
-    previous = 0 are skipped.  ``relative_change`` is rounded to 3 dp after the test."""
-    tol = ds.tolerance if tolerance is None else tolerance
+    previous = 0 are skipped.  ``relative_change`` is rounded to 3 dp after the test.
+    ``tolerance``: one for all columns, or a map (a column it lacks takes the
+    dataset's own)."""
+    tols = {c: tolerance.get(c, ds.tolerance) if isinstance(tolerance, Mapping) else ds.tolerance if tolerance is None else tolerance
+            for c in ds.check_cols}
     key = list(ds.key)
     if previous is None:
         return new.withColumn("_anomalies", F.array().cast(f"array<{ANOMALY}>")) \
@@ -33,7 +38,7 @@ def compare(new: DataFrame, previous: DataFrame | None, ds: Dataset, tolerance:
     j = new.join(prev.withColumn("__hit", F.lit(True)), key, "left")
     entries = []
     for c in ds.check_cols:
-        rel = relative_change(F.col(c), F.col(f"__prev_{c}"))
+        rel, tol = relative_change(F.col(c), F.col(f"__prev_{c}")), tols[c]
         entries.append(F.when(rel > F.lit(tol), F.struct(
             F.lit(c).alias("column"), F.col(f"__prev_{c}").cast("double").alias("previous_value"),
             F.col(c).cast("double").alias("new_value"), F.round(rel, 3).alias("relative_change"),
@@ -83,3 +88,26 @@ def promote(compared: DataFrame, previous: DataFrame | None, ds: Dataset, on_fla
     flagged_keys = compared.where(F.size("_anomalies") > 0).select(*ds.key)
     kept = previous.join(flagged_keys, list(ds.key), "left_semi")
     return safe.unionByName(kept.select(*safe.columns))
+
+
+def merge(new: DataFrame, previous: DataFrame, key: Sequence[str], withheld: DataFrame | None = None, keep_withheld: bool = True,
+          keep_absent: bool = False) -> DataFrame:
+    """The table to publish from both sides by one full outer merge join on the key.
+
+    Rows of ``withheld`` keys keep their previous row (or go, without
+    ``keep_withheld``); keys that only ``previous`` has stay with ``keep_absent``.
+    Both sides are key-unique and have the same columns.  Tables bucketed by the
+    key meet without an exchange, and the result lies in their buckets: the
+    withheld keys join the new side before the two meet, so only they may move.
+    """
+    key = list(key)
+    fresh = new.select(*key, F.struct(*new.columns).alias("__new"))
+    if withheld is not None:
+        fresh = fresh.join(withheld.select(*key, F.lit(True).alias("__held")), key, "left")
+    else:
+        fresh = fresh.withColumn("__held", F.lit(None).cast("boolean"))
+    both = fresh.join(previous.select(*key, F.struct(*new.columns).alias("__old")), key, "full_outer")
+    row = F.when(F.col("__held"), F.col("__old") if keep_withheld else F.lit(None))
+    row = row.when(F.col("__new").isNotNull(), F.col("__new"))
+    row = row.otherwise(F.col("__old") if keep_absent else F.lit(None))
+    return both.select(row.alias("__row")).where("__row IS NOT NULL").select("__row.*")

@@ -23,14 +23,16 @@ def run_dataset(raw: DataFrame, root: str, ds: Dataset, run_id: str | None = Non
                 order_by: Sequence[str] = ("_row_seq",), export: str | None = None, namespace: str | None = None) -> P.PublishResult:
     """Land ``raw`` (a frame read from files) as run ``run_id`` and publish it.
 
-    The run id names the snapshot too, so running a pull again changes nothing.
+    The run id names the snapshot too, so running a pull again changes nothing:
+    a run that has landed is not landed again.
     ``export`` writes the published table as CSV; ``namespace`` replaces the
     managed table ``<namespace>.<dataset>``.
     """
     spark = raw.sparkSession
     run_id = run_id or FS.run_stamp()
-    FS.land(FS.with_lineage(raw, mode).drop("_run_id"), root, ds.name, run_id)
-    landed = FS.read_latest_run(spark, root, ds.name)
+    if FS.read_run(spark, root, ds.name, run_id) is None:
+        FS.land(FS.with_lineage(raw, mode).drop("_run_id"), root, ds.name, run_id)
+    landed = FS.read_run(spark, root, ds.name, run_id)
     Q.enforce(Q.key_null_gate(landed, ds))
     result = P.publish(clean(landed, ds, order_by=order_by), f"{root.rstrip('/')}/published", ds, run_id, on_flag)
     table = P.read_current(spark, f"{root.rstrip('/')}/published", ds)

@@ -68,9 +68,22 @@ def read_latest_run(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
     runs = [s.getPath().getName() for s in found if s.getPath().getName().startswith("_run_id=")]
+    if not runs:
+        raise FileNotFoundError(f"no run has landed under {path}")
     return spark.read.option("basePath", path).parquet(f"{path}/{max(runs)}")
 
 
+def read_run(spark: SparkSession, root: str, dataset: str, run_id: str) -> DataFrame | None:
+    """Rows of one run, or None if it has not landed."""
+    path = f"{root.rstrip('/')}/raw/{dataset}"
+    try:
+        return spark.read.option("basePath", path).parquet(f"{path}/_run_id={run_id}")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
 # -- S7: source preference with fallback ------------------------------------------------------------
 def first_available(readers: Sequence[tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
     """Try the readers in order; the first that loads and has a row wins, tagged
