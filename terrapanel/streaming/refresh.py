@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from terrapanel.operators.serve import surrogate_id
 from terrapanel.registry import Dataset
 from terrapanel.session import checkpoint_dir
 from terrapanel.sources.publish import publish, upsert_snapshot
@@ -147,6 +148,46 @@ def hourly_rollup(df: DataFrame, ts: str, by: Sequence[str], value: str, waterma
     return g.select(start.alias("window_start"), *by, "n", F.round("total_value", 6).alias("total_value"))
 
 
-def with_submissions(main: DataFrame, submitted: DataFrame, tag: str = "user_input") -> DataFrame:
-    """ST6: a second source (rows typed in by users) appended to the main stream."""
+def with_submissions(main: DataFrame, submitted: DataFrame, tag: str = "user_input", main_tag: str | None = None) -> DataFrame:
+    """ST6: a second source (rows typed in by users) appended to the main stream.
+
+    Columns that one side lacks are null; ``data_quality`` tells the sources apart
+    (``main_tag`` for main rows, where they have no tag of their own).
+    """
+    if main_tag is not None:
+        own = F.col("data_quality") if "data_quality" in main.columns else F.lit(None).cast("string")
+        main = main.withColumn("data_quality", F.coalesce(own, F.lit(main_tag)))
     return main.unionByName(submitted.withColumn("data_quality", F.lit(tag)), allowMissingColumns=True)
+
+
+def source_freshness(batch: DataFrame, ds: Dataset, batch_id: int, source_col: str = "data_quality") -> DataFrame:
+    """ST5: one row per source in the batch: rows, newest period (where there is one), when it was checked."""
+    newest = F.max(ds.period).cast("string") if ds.period and ds.period in batch.columns else F.lit(None).cast("string")
+    return batch.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("rows"), newest.alias("source_as_of")).select(
+        F.lit(ds.name).alias("dataset"), F.lit(int(batch_id)).cast("long").alias("batch_id"), "source", "rows", "source_as_of",
+        F.current_timestamp().alias("last_checked_at"))
+
+
+def collect_sources(main: DataFrame, submitted: DataFrame, root: str, ds: Dataset, tag: str = "user_input", main_tag: str = "official",
+                    id_from: str | None = None, every_seconds: int | None = None, name: str | None = None) -> StreamingQuery:
+    """ST6: one query over the main stream and the stream of submissions, upserted into the published snapshot.
+
+    Submitted rows get a surrogate key from ``id_from`` (P21; null: they bring
+    their own key), so they never replace a main row.  Each batch appends its rows
+    per source to ``<root>/_sources`` (``source_freshness``) under its own batch
+    folder.  Offsets of both sources are in one checkpoint: a restart goes on
+    where each of them stopped.
+    """
+    spark = main.sparkSession
+    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/sources_{name or ds.name}"
+    if id_from is not None:
+        submitted = submitted.withColumn(ds.key[0], surrogate_id(F.col(id_from)))
+        main = main.withColumn(ds.key[0], F.col(ds.key[0]).cast("string"))
+    query = _stream_id(spark, ckpt)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        upsert_snapshot(_with_row_seq(batch), root, ds, snapshot_id=_snapshot_id(query, batch_id))
+        source_freshness(batch, ds, batch_id).write.mode("overwrite").parquet(f"{root.rstrip('/')}/_sources/stream={query}/batch={batch_id}")
+
+    both = with_submissions(main, submitted, tag, main_tag)
+    return _trigger(both.writeStream.foreachBatch(run).option("checkpointLocation", ckpt), every_seconds).start()
