@@ -12,11 +12,16 @@ about ``BUCKET`` others at any size) and the number of tables from the wanted
 recall at exactly the threshold; closer pairs are missed far more rarely.
 
 Equal vectors are one class and are compared once.  A bucket of many classes is
-dealt to blocks of at most about ``2 * SIDE`` rows; each block returns a count of
-links per vector and one edge per vector to the smallest id of its local
-component, never the pairs.  A pair that meets in several tables is counted in
-the first of them: a block recomputes the earlier buckets of linked vectors in
-exact integer arithmetic.
+dealt to blocks of at most about ``2 * SIDE`` rows.  Blocks are first formed of
+class numbers and ``BITS`` signs of further projections alone: a pair at the
+threshold differs in few signs, and only members of a pair within ``SIGMAS``
+standard deviations of that go on, joined with their vectors, to the exact check
+(the chance to lose a pair at exactly the threshold is below 1e-7; one in ten
+thousand unrelated pairs goes on).  A block returns a count of links per vector
+and one edge per vector to the smallest id of its local component, never the
+pairs.  A pair that meets in several tables is counted in the first of them: a
+block recomputes the earlier buckets of linked vectors in exact integer
+arithmetic.
 """
 
 from __future__ import annotations
@@ -36,8 +41,11 @@ from terrapanel.llm.components import components
 SEED = 20_241
 SLOT = 2.4
 RECALL = 0.995
-BUCKET = 32
+BUCKET = 256
 SIDE = 1024
+BITS, SIGMAS = 128, 6.0
+#: Cosines this near the threshold are computed again in one fixed order, so that every block judges a pair alike.
+BORDER = 1e-12
 #: Unit components and projections are rounded to multiples of these: products
 #: and sums of them are exact in double precision in any order of addition.
 UNIT, GAUSS = 2.0**24, 2.0**10
@@ -67,17 +75,42 @@ class Hasher:
         self.b = np.floor(rng.random(tables * width) * slot * UNIT * GAUSS)
         self.mul = rng.integers(1, 2**62, size=width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.slot, self.width, self.tables = slot * UNIT * GAUSS, width, tables
-
-    def keys(self, unit: np.ndarray) -> np.ndarray:
-        """unit: rows of unit length; returns a 64-bit bucket number per row and table."""
-        slots = np.floor((np.rint(unit * UNIT) @ self.a + self.b) / self.slot).astype(np.int64).view(np.uint64)
-        x = (slots.reshape(len(unit), self.tables, self.width) * self.mul).sum(axis=2, dtype=np.uint64)
+        self.signs = rng.standard_normal((dim, BITS))
+
+    def keys(self, unit: np.ndarray, tables: int | None = None) -> np.ndarray:
+        """unit: rows of unit length; returns a 64-bit bucket number per row and table, of the first ``tables`` tables."""
+        tables = self.tables if tables is None else tables
+        n = tables * self.width
+        slots = np.floor((np.rint(unit * UNIT) @ self.a[:, :n] + self.b[:n]) / self.slot).astype(np.int64).view(np.uint64)
+        x = (slots.reshape(len(unit), tables, self.width) * self.mul).sum(axis=2, dtype=np.uint64)
         x ^= x >> np.uint64(31)
         x *= np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
         return x.view(np.int64)
 
 
+    def sketch(self, unit: np.ndarray) -> np.ndarray:
+        """The signs of ``BITS`` projections per row, as 64-bit words."""
+        return np.packbits(unit @ self.signs >= 0, axis=1).view(np.int64)
+
+
+def sign_cut(threshold: float) -> int:
+    """The most signs in which a pair at the threshold may differ and still be compared."""
+    p = math.acos(min(max(threshold, -1.0), 1.0)) / math.pi
+    return math.ceil(BITS * p + SIGMAS * math.sqrt(BITS * p * (1 - p)) + 2)
+
+
+def links(unit: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rows have cosine >= threshold; a pair is judged alike whatever other rows share the call."""
+    cosine = unit @ unit.T
+    near = cosine >= threshold
+    i, j = np.nonzero(np.triu(np.abs(cosine - threshold) <= BORDER, 1))
+    if len(i):
+        near[i, j] = near[j, i] = (unit[i] * unit[j]).sum(axis=1) >= threshold
+    np.fill_diagonal(near, False)
+    return near
+
+
 def units(x: np.ndarray) -> np.ndarray:
     """Rows scaled to unit length; the largest component first, so that no square over- or underflows."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -135,13 +168,15 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                                              ["id", "digest", "vec"])
 
     member = materialize(rows.mapInArrow(digests, "id long, digest binary, vec binary"), "emb_rows")
+    grouped_rows = member.filter("digest is not null").groupBy("digest").agg(
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
     classes = materialize(
-        member.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-                                     F.first("vec").alias("vec"))
-        .withColumn("dim", (F.octet_length("vec") / np.dtype(dtype).itemsize).cast("int")), "emb_classes")
+        grouped_rows.withColumn("dim", (F.octet_length("vec") / np.dtype(dtype).itemsize).cast("int"))
+        .withColumn("cls", F.monotonically_increasing_id()), "emb_classes")
     n = classes.count()
     width, tables = plan(n, threshold, recall)
     args = (width, tables, SLOT, seed)
+    words = [f"s{i}" for i in range(BITS // 64)]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hasher] = {}
@@ -152,23 +187,41 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 part = b.take(pa.array(np.flatnonzero(dims == d)))
                 for s in range(0, part.num_rows, 512):
                     p = part.slice(s, 512)
-                    k = h.keys(units(matrix(p.column("vec"), dtype).astype(np.float64))) + np.int64(d)
+                    unit = units(matrix(p.column("vec"), dtype).astype(np.float64))
+                    k, signs = h.keys(unit) + np.int64(d), h.sketch(unit)
                     r = np.repeat(np.arange(p.num_rows), tables)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.tile(np.arange(tables, dtype=np.int32), p.num_rows)), pa.array(k.ravel()),
-                         *(p.column(c).take(pa.array(r)) for c in ("rep", "digest"))], ["table", "slot", "rep", "digest"])
+                        [pa.array(np.tile(np.arange(tables, dtype=np.int32), p.num_rows)), pa.array(k.ravel()), p.column("cls").take(pa.array(r)),
+                         *(pa.array(signs[r, i]) for i in range(len(words)))], ["table", "slot", "cls", *words])
 
     keyed = materialize(
-        classes.select("rep", "digest", "dim", "vec")
-        .mapInArrow(hashed, "table int, slot long, rep long, digest binary")
-        .withColumn("bucket", F.xxhash64("table", "slot")), "emb_keys")
+        classes.select("cls", "dim", "vec").mapInArrow(hashed, f"table int, slot long, cls long, {', '.join(f'{w} long' for w in words)}")
+        .select(F.xxhash64("table", "slot").alias("bucket"), "table", "cls", *words), "emb_keys")
     sizes = materialize(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "emb_sizes")
-    dealt = tiles(keyed, "bucket", F.col("digest"), sizes, SIDE)
-    dealt = dealt.join(classes.select("digest", "dim", "vec", "copies"), "digest")
+    dealt = tiles(keyed, "bucket", F.col("cls"), sizes, SIDE)
+    block, most = ["bucket", "tile_i", "tile_j"], sign_cut(threshold)
+    spread = lambda df: df.repartition(*block).sortWithinPartitions(*block)
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of a block that differ from another in few enough signs."""
+        for t in grouped(batches, block):
+            signs = [np.asarray(t[w]).view(np.uint64) for w in words]
+            differ = sum(np.bitwise_count(x[:, None] ^ x[None, :]).astype(np.uint16) for x in signs)
+            near = differ <= most
+            np.fill_diagonal(near, False)
+            if t["tile_i"][0].as_py() != t["tile_j"][0].as_py():
+                chunk = np.asarray(t["chunk"])
+                near &= chunk[:, None] != chunk[None, :]
+            at = np.flatnonzero(near.any(axis=1))
+            if len(at):
+                yield from t.select([*block, "chunk", "table", "cls"]).take(pa.array(at)).combine_chunks().to_batches()
+
+    maybe = materialize(spread(dealt.select(*block, "chunk", "table", "cls", *words)).mapInArrow(
+        sieve, "bucket long, tile_i int, tile_j int, chunk int, table int, cls long"), "emb_maybe")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hasher] = {}
-        for t in grouped(batches, ["bucket", "tile_i", "tile_j"]):
+        for t in grouped(batches, block):
             i, j = t["tile_i"][0].as_py(), t["tile_j"][0].as_py()
             # one bucket number can stand for two tables or dimensions only by chance
             for (table, dim), own in _parts(t):
@@ -176,39 +229,37 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                     continue
                 unit = units(matrix(own["vec"], dtype).astype(np.float64))
                 rep, copies = np.asarray(own["rep"]), np.asarray(own["copies"])
-                chunk = np.asarray(own["chunk"])
-                near = unit @ unit.T >= threshold
-                np.fill_diagonal(near, False)
+                near = links(unit, threshold)
                 if i != j:
+                    chunk = np.asarray(own["chunk"])
                     near &= chunk[:, None] != chunk[None, :]
                 if not (at := np.flatnonzero(near.any(axis=1))).size:
                     continue
                 near, rep, copies = near[np.ix_(at, at)], rep[at], copies[at]
-                h = hashers.setdefault(dim, Hasher(dim, *args))
-                keys = np.concatenate([h.keys(unit[at[s:s + 512]]) for s in range(0, len(at), 512)])
                 first = near.copy()
-                for k in range(table):
-                    first &= keys[:, k, None] != keys[None, :, k]
+                if table:
+                    h = hashers.setdefault(dim, Hasher(dim, *args))
+                    keys = np.concatenate([h.keys(unit[at[s:s + 512]], table) for s in range(0, len(at), 512)])
+                    for k in range(table):
+                        first &= keys[:, k, None] != keys[None, :, k]
                 low = rep.copy()
                 while True:  # smallest id within the block's own components
                     now = np.minimum(low, np.where(near, low[None, :], np.iinfo(np.int64).max).min(axis=1))
                     if (now == low).all():
                         break
                     low = now
-                digest = own["digest"].combine_chunks().take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [digest, pa.array(rep), pa.array(low), pa.array((first * copies[None, :]).sum(axis=1))],
-                    ["digest", "rep", "low", "links"])
+                    [own["cls"].combine_chunks().take(pa.array(at)), pa.array(rep), pa.array(low), pa.array((first * copies[None, :]).sum(axis=1))],
+                    ["cls", "rep", "low", "links"])
 
     found = materialize(
-        dealt.select("bucket", "tile_i", "tile_j", "chunk", "table", "rep", "digest", "dim", "vec", "copies")
-        .repartition("bucket", "tile_i", "tile_j").sortWithinPartitions("bucket", "tile_i", "tile_j")
-        .mapInArrow(blocks, "digest binary, rep long, low long, links long")
-        .groupBy("digest", "rep").agg(F.sum("links").alias("links"), F.collect_set("low").alias("lows")), "emb_links")
+        spread(maybe.join(classes.select("cls", "rep", "dim", "vec", "copies"), "cls"))
+        .mapInArrow(blocks, "cls long, rep long, low long, links long")
+        .groupBy("cls", "rep").agg(F.sum("links").alias("links"), F.collect_set("low").alias("lows")), "emb_links")
     # equal vectors are links between their ids too
     same = member.join(classes.filter("copies > 1").select("digest", "rep"), "digest").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     comp = materialize(components(found.select(F.col("rep").alias("u"), F.explode("lows").alias("v")).union(same)), "emb_comp")
-    per = classes.select("digest", "copies").join(found.select("digest", "links"), "digest", "left")
+    per = classes.select("cls", "digest", "copies").join(found.select("cls", "links"), "cls", "left")
     per = materialize(per.select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
                       .filter("n_links > 0"), "emb_counts")
     named = member.filter("digest is not null").select("id", "digest").join(per, "digest", "left").select("id", "n_links")
