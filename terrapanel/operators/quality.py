@@ -35,7 +35,7 @@ def contract_checks(ds: Dataset, columns: Sequence[str]) -> list[Column]:
         missing = col.isNull()
         if c in ds.bounds:  # numeric: NaN counts as missing (P19)
             missing = missing | F.coalesce(F.expr(f"isnan(try_cast(`{c}` as double))"), F.lit(False))
-        if c in ds.key or c in ds.required:
+        if c in ds.key or c in ds.required or c in ds.defaults:
             checks.append(_violation(c, "missing", missing))
         if c in ds.key and c not in ds.bounds:  # an id of blanks names nothing
             checks.append(_violation(c, "blank", ~missing & (F.trim(col.cast("string")) == "")))
@@ -56,6 +56,20 @@ def contract_checks(ds: Dataset, columns: Sequence[str]) -> list[Column]:
     return checks
 
 
+def to_contract(df: DataFrame, ds: Dataset, text: bool = False) -> DataFrame:
+    """V1: the columns that a row of ``ds`` has: defaults for columns the load lacks, other optional ones null,
+    columns beyond a closed contract dropped (those that start with an underscore stay).  ``text``: all as text."""
+    have = set(df.columns)
+    kept = [c for c in df.columns if not ds.closed or c in ds.columns or c.startswith("_")]
+
+    def type_of(c: str) -> str:
+        return "string" if text else "bigint" if c in ds.int_cols else "double" if c in ds.bounds else "string"
+
+    added = [(F.lit(ds.defaults[c]) if c in ds.defaults else F.lit(None)).cast(type_of(c)).alias(c)
+             for c in ds.optional if c not in have and (c in ds.defaults or ds.closed)]
+    return df.select(*[F.col(f"`{c}`") for c in kept], *added)
+
+
 def validate(df: DataFrame, ds: Dataset) -> DataFrame:
     """Adds ``_violations`` (array, contract order), ``is_valid`` and ``first_error``."""
     checks = contract_checks(ds, df.columns)
@@ -90,9 +104,10 @@ def first_errors(validated: DataFrame, ds: Dataset, k: int = 20) -> DataFrame:
 
 
 def key_null_gate(df: DataFrame, ds: Dataset) -> DataFrame:
-    """V5 as a status row: rows, max key-null rate, passed (rows > 0 and rate ≤ limit).
-    Run it on the *pre-clean* frame: after dropna it can only fail on empty input."""
-    key = [c for c in ds.key if c in df.columns]
+    """V5 as a status row: rows, max null rate over the gate's columns (key and headline
+    measure), passed (rows > 0 and rate ≤ limit).  Run it on the *pre-clean* frame:
+    after dropna it can only fail on empty input."""
+    key = [c for c in (ds.gate or ds.key) if c in df.columns]
     rates = [F.avg(F.col(c).isNull().cast("double")) for c in key]
     g = df.agg(F.count(F.lit(1)).alias("rows"),
                (F.greatest(*rates) if len(rates) > 1 else rates[0]).alias("max_key_null_rate"))

@@ -38,6 +38,9 @@ class Dataset:
     measures: tuple[str, ...] = ()
     max_key_null_rate: float = 0.05
     pass_rate: float = 0.95
+    gate: tuple[str, ...] = ()                                   # columns of the null gate (default: the key)
+    defaults: dict[str, str] = field(default_factory=dict)       # values of columns that a load lacks
+    closed: bool = False                                         # columns beyond the contract are dropped
 
     @property
     def columns(self) -> tuple[str, ...]:
@@ -86,6 +89,9 @@ CO2_ENERGY = Dataset(
     tolerance=TOL_PANEL,
     row_bounds=(3, 900),
     measures=("co2_emissions_mt", "renewable_share_pct", "electricity_price_eur_mwh"),
+    gate=("country_code", "year", "co2_emissions_mt"),
+    defaults={"data_quality": "sample"},
+    closed=True,
 )
 
 REGIONAL_RISK = Dataset(
@@ -97,7 +103,7 @@ REGIONAL_RISK = Dataset(
     optional=("data_quality",),
     bounds={c: SCORE for c in ("physical_risk_score", "transition_risk_score", "flood_risk_score",
                                "heat_stress_score", "composite_climate_risk_score")},
-    enums={"country_code": VALID_COUNTRIES, "risk_level": RISK_LEVELS},
+    enums={"country_code": VALID_COUNTRIES, "risk_level": RISK_LEVELS, "data_quality": QUALITY_TAGS[:3]},
     clamp={c: SCORE for c in ("physical_risk_score", "transition_risk_score", "flood_risk_score",
                               "heat_stress_score", "composite_climate_risk_score")},
     code_cols=("country_code",),
@@ -106,6 +112,9 @@ REGIONAL_RISK = Dataset(
     check_cols=("composite_climate_risk_score",),
     tolerance=TOL_SITES,
     row_bounds=(3, 500),
+    gate=("country_code", "region", "composite_climate_risk_score"),
+    defaults={"data_quality": "sample"},
+    closed=True,
 )
 
 COMPANY_ESG = Dataset(
@@ -118,7 +127,7 @@ COMPANY_ESG = Dataset(
     int_cols=("reporting_gaps_count",),
     bounds={"scope1_tco2e": NONNEG, "scope2_tco2e": NONNEG, "scope3_tco2e": NONNEG,
             "esg_readiness_score": PCT, "csrd_readiness_score": PCT, "reporting_gaps_count": NONNEG},
-    enums={"country_code": VALID_COUNTRIES},
+    enums={"country_code": VALID_COUNTRIES, "data_quality": QUALITY_TAGS[:3]},
     clamp={"scope1_tco2e": NONNEG, "scope2_tco2e": NONNEG, "scope3_tco2e": NONNEG,
            "esg_readiness_score": NONNEG, "csrd_readiness_score": NONNEG},
     code_cols=("country_code",),
@@ -126,6 +135,9 @@ COMPANY_ESG = Dataset(
     check_cols=("scope1_tco2e", "scope2_tco2e", "scope3_tco2e"),
     tolerance=TOL_FIRMS,
     row_bounds=(1, 100_000),
+    gate=("company_id", "country_code"),
+    defaults={"data_quality": "sample"},
+    closed=True,
 )
 
 # Driver views (see terrapanel.plans.views): same shapes on the test tables.
@@ -146,6 +158,7 @@ PANEL = Dataset(
     tolerance=TOL_PANEL,
     row_bounds=(3, 900),
     measures=("level_mt", "share_a_pct", "share_b_pct"),
+    gate=("entity", "period", "level_mt"),
 )
 
 SITES = Dataset(

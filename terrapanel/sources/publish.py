@@ -270,7 +270,7 @@ def _attempts(s: BucketStore, load: DataFrame, order: list[str], ds: Dataset, sn
 
 
 def publish(new: DataFrame, root: str, ds: Dataset, snapshot_id: str, on_flag: str = "keep_previous", partial: bool = False) -> PublishResult:
-    """Validate → (gate) → reconcile with the current snapshot → commit the promoted table.
+    """Contract columns → validate → (gate) → reconcile with the current snapshot → commit the promoted table.
 
     Gate failure publishes nothing (readers keep the previous snapshot).  Of valid
     rows that share a key, one is published (the greatest by its other columns).
@@ -284,7 +284,7 @@ def publish(new: DataFrame, root: str, ds: Dataset, snapshot_id: str, on_flag: s
     s = store(new.sparkSession, root, ds)
     if s.state(snapshot_id)[1]:
         return PublishResult(ds.name, "already_published", snapshot_id, 0, 0, 0.0)
-    validated = materialize(Q.validate(new, ds), f"staged_{ds.name}")
+    validated = materialize(Q.validate(Q.to_contract(new, ds), ds), f"staged_{ds.name}")
     rep = Q.validation_report(validated, ds).first()
     res = PublishResult(ds.name, "gate_failed", None, rep["total_rows"], rep["valid_rows"], rep["pass_rate"])
     if not rep["passed"]:
