@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terrapanel.functions.text import personal_fields, pii_columns
 from terrapanel.registry import Dataset
 
 VIOLATION = "struct<field:string,rule:string,value:string>"
@@ -128,56 +129,111 @@ def enforce(status: DataFrame) -> None:
         raise QualityGateError(str(bad[0].asDict()))
 
 
-# -- dataset rules (D6-D14) as one aggregate ------------------------------------------------------
+# -- dataset rules (D4-D16) in one pass ----------------------------------------------------------
+STAMP_IN_NAME = r"_(\d{8}T\d{6}Z)\.csv$"
+
+
+def _row_rules(df: DataFrame, ds: Dataset, complete: bool, as_of: str | None) -> dict[str, tuple[Column, str]]:
+    """Per rule what one row adds to it, and how rows fold (sum or max)."""
+    cols, out = set(df.columns), {}
+    one = lambda bad: F.coalesce(bad.cast("double"), F.lit(0.0))
+    for c in ds.key + ds.required:
+        if c in cols:
+            out[f"nulls_{c}"] = (one(F.col(c).isNull()), "sum")
+    if ds.period and ds.period in cols:
+        p = F.col(ds.period)
+        out["period_lag"] = (p.cast("double"), "max")
+        out["period_out_of_range"] = (one(~p.between(1990, 2100)), "sum")
+        out["period_not_integer"] = (one(p.cast("double") != F.floor(p)), "sum")
+    if complete:
+        for c in ds.text_cols:
+            if c in cols:
+                out[f"blank_{c}"] = (one(F.trim(F.col(c)) == ""), "sum")
+        if "_source_file" in cols:
+            stamp = F.regexp_extract("_source_file", STAMP_IN_NAME, 1)
+            at = F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyyMMdd'T'HHmmss'Z'"))
+            out["file_stamp_invalid"] = (one(at.isNull() | (F.year(at) < 2020)), "sum")
+            out["file_age_days"] = (F.datediff(F.lit(as_of).cast("date") if as_of else F.current_date(), at.cast("date")).cast("double"), "max")
+    return out
+
+
 def rule_table(df: DataFrame, ds: Dataset, as_of_year: int,
                expected: DataFrame | None = None, parent_codes: DataFrame | None = None,
-               freshness_years: int = 5) -> DataFrame:
-    """Every dataset rule as one aggregate, unpivoted to
-    ``(dataset, rule, observed, threshold, passed)``.
+               freshness_years: int = 5, complete: bool = False, source_columns: Sequence[str] = (), as_of: str | None = None) -> DataFrame:
+    """Every dataset rule from one scan of ``df``: ``(dataset, rule, observed, threshold, passed)``.
+
+    Rows fold to keys (copies of a key, D10), keys to entity codes, which meet the
+    codes that ``expected`` and ``parent_codes`` bring (D9, D14), and codes to one
+    row, which is unpivoted.  Each step has map-side partials, so a key or code
+    that a third of all rows share is one row a task.
 
     ``expected``: one-column frame of entity codes that must all be present (D9).
     ``parent_codes``: one-column frame of codes the entity column must come from (D14).
+    ``complete`` adds: copies of whole rows (D10), blank names (D14), stamps and
+    age of files named in ``_source_file`` (D8, D13; age as of the date ``as_of``),
+    and, from column names alone, ``source_columns`` that are missing (D4),
+    contract columns that are missing (D5), names like those of personal data
+    (D15a) and names of personal-data fields (D16).
     """
     v = validate(df, ds)
-    cols = set(df.columns)
-    aggs = {
-        "row_count_min": (F.count(F.lit(1)).cast("double"), float(ds.row_bounds[0]), ">="),
-        "row_count_max": (F.count(F.lit(1)).cast("double"), float(ds.row_bounds[1]), "<="),
-        "valid_share": (F.coalesce(F.avg(F.col("is_valid").cast("double")), F.lit(0.0)), ds.pass_rate, ">="),
-    }
-    for c in ds.key + ds.required:
-        if c in cols:
-            aggs[f"nulls_{c}"] = (F.sum(F.col(c).isNull().cast("double")), 0.0, "<=")
-    if ds.period and ds.period in cols:
-        p = F.col(ds.period)
-        aggs["period_lag"] = (F.lit(float(as_of_year)) - F.max(p).cast("double"), float(freshness_years), "<=")
-        aggs["period_out_of_range"] = (F.sum((~p.between(1990, 2100)).cast("double")), 0.0, "<=")
-        aggs["period_not_integer"] = (F.sum((p.cast("double") != F.floor(p)).cast("double")), 0.0, "<=")
-    exprs = [e.alias(n) for n, (e, _, _) in aggs.items()]
-    base = v.agg(*exprs).unpivot([], list(aggs), "rule", "observed")
-    parts = [base]
-    # Key uniqueness, all copies counted (keep=False)
-    parts.append(df.groupBy(*ds.key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                   .agg(F.lit("duplicate_key_rows").alias("rule"),
-                        F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("observed")))
-    aggs["duplicate_key_rows"] = (None, 0.0, "<=")
-    obs = df.select(F.col(ds.entity).alias("__code")).distinct()
+    per_row = _row_rules(df, ds, complete, as_of)
+    fold = {"sum": F.sum, "max": F.max}
+    code = F.col(ds.entity)
+    rows = v.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(ds.key)], code.alias("__code"),
+                    F.col("is_valid").cast("double").alias("__ok"), *[e.alias(n) for n, (e, _) in per_row.items()],
+                    *([F.xxhash64(*df.columns).alias("__h1"), F.xxhash64(F.lit(1), *df.columns).alias("__h2")] if complete else []))
+    keys = [f"__k{i}" for i in range(len(ds.key))]
+    folded = [fold[how](n).alias(n) for n, (_, how) in per_row.items()]
+    count = F.count(F.lit(1)).alias("__n")
+    if complete:  # equal rows first: they are part of their key's copies
+        rows = rows.groupBy(*keys, "__code", "__h1", "__h2").agg(count, F.sum("__ok").alias("__ok"), *folded)
+        rows = rows.withColumn("__same", F.when(F.col("__n") > 1, F.col("__n")).otherwise(0))
+        count = F.sum("__n").alias("__n")
+        folded = [*folded, F.sum("__same").alias("__same")]
+    by_key = rows.groupBy(*keys, "__code").agg(count, F.sum("__ok").alias("__ok"), *folded)
+    copies = F.sum("__n").alias("__n")
+    if ds.entity in ds.key:
+        by_key = by_key.withColumn("__dup", F.when(F.col("__n") > 1, F.col("__n")).otherwise(0))
+    else:  # a key with several codes is still one key: fold once by key, for its copies, and once by code, for all the rest
+        by_key = by_key.withColumn("__kind", F.explode(F.array(F.lit("key"), F.lit("code"))))
+        key_side, measures = F.col("__kind") == "key", [c for c in by_key.columns if c not in (*keys, "__code", "__kind")]
+        by_key = by_key.select("__kind", *[F.when(key_side, F.col(k)).alias(k) for k in keys], F.when(~key_side, F.col("__code")).alias("__code"), *measures)
+        by_key = by_key.groupBy("__kind", *keys, "__code").agg(copies, F.sum("__ok").alias("__ok"), *folded)
+        by_key = by_key.withColumn("__dup", F.when(key_side & (F.col("__n") > 1), F.col("__n")).otherwise(0))
+        by_key = by_key.select("__code", "__dup", *[F.when(~key_side, F.col(c)).alias(c) for c in measures])
+    by_code = by_key.groupBy("__code").agg(copies, F.sum("__ok").alias("__ok"), F.sum("__dup").alias("__dup"), *folded)
+    sides = {"__expected": expected, "__parent": parent_codes}
+    for name, side in sides.items():  # codes without rows join the fold as empty ones
+        by_code = by_code.withColumn(name, F.lit(None).cast("int"))
+    for name, side in sides.items():
+        if side is not None:
+            by_code = by_code.unionByName(side.toDF("__code").select("__code", F.lit(1).alias(name)), allowMissingColumns=True)
+    if expected is not None or parent_codes is not None:
+        by_code = by_code.groupBy("__code").agg(copies, F.sum("__ok").alias("__ok"), F.sum("__dup").alias("__dup"), *folded,
+                                                *[F.max(n).alias(n) for n in sides])
+    n = F.coalesce(F.sum("__n"), F.lit(0)).cast("double")
+    seen = F.col("__n") > 0
+    rules = {"row_count_min": (n, float(ds.row_bounds[0]), ">="), "row_count_max": (n, float(ds.row_bounds[1]), "<="),
+             "valid_share": (F.coalesce(F.try_divide(F.sum("__ok"), n), F.lit(0.0)), ds.pass_rate, ">="),
+             "duplicate_key_rows": (F.coalesce(F.sum("__dup"), F.lit(0)).cast("double"), 0.0, "<=")}
+    limits = {"period_lag": float(freshness_years), "file_age_days": 364.0}
+    for name, (_, how) in per_row.items():
+        value = fold[how](name)
+        rules[name] = (F.lit(float(as_of_year)) - value if name == "period_lag" else value, limits.get(name, 0.0), "<=")
     if expected is not None:
-        e = expected.toDF("__code").distinct()
-        parts.append(e.join(obs, "__code", "left_anti")
-                      .agg(F.lit("missing_expected").alias("rule"), F.count(F.lit(1)).cast("double").alias("observed")))
-        aggs["missing_expected"] = (None, 0.0, "<=")
+        rules["missing_expected"] = (F.count_if(F.col("__expected").isNotNull() & ~F.coalesce(seen, F.lit(False))).cast("double"), 0.0, "<=")
     if parent_codes is not None:
-        par = parent_codes.toDF("__code").distinct()
-        parts.append(obs.join(par, "__code", "left_anti")
-                        .agg(F.lit("orphan_codes").alias("rule"), F.count(F.lit(1)).cast("double").alias("observed")))
-        aggs["orphan_codes"] = (None, 0.0, "<=")
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    names = list(aggs)
-    thr = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(aggs[n][1]))])
-    op = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(aggs[n][2]))])
+        rules["orphan_codes"] = (F.count_if(F.coalesce(seen, F.lit(False)) & F.col("__parent").isNull()).cast("double"), 0.0, "<=")
+    if complete:
+        names = {"missing_source_columns": len(set(source_columns) - set(df.columns)),
+                 "missing_contract_columns": len([c for c in ds.columns if c not in df.columns]),
+                 "personal_column_names": len(pii_columns(df.columns)), "personal_fields": len(personal_fields(df.columns))}
+        rules["duplicate_rows"] = (F.coalesce(F.sum("__same"), F.lit(0)).cast("double"), 0.0, "<=")
+        # constants take the row count along, so that they stay part of the one aggregate
+        rules |= {name: (F.lit(float(x)) + 0 * n, 0.0, "<=") for name, x in names.items()}
+    long = by_code.agg(*[e.alias(name) for name, (e, _, _) in rules.items()]).unpivot([], list(rules), "rule", "observed")
+    thr = F.create_map(*[x for name, r in rules.items() for x in (F.lit(name), F.lit(r[1]))])
+    op = F.create_map(*[x for name, r in rules.items() for x in (F.lit(name), F.lit(r[2]))])
     long = long.withColumn("threshold", thr[F.col("rule")]).withColumn("__op", op[F.col("rule")])
     passed = F.when(F.col("__op") == ">=", F.col("observed") >= F.col("threshold")).otherwise(
         F.col("observed") <= F.col("threshold"))

@@ -9,7 +9,7 @@ from terrapanel.operators import quality as Q
 from terrapanel.operators import reconcile as R
 from terrapanel.plans.catalog import Ctx, query
 from terrapanel.plans.landing import PREVIOUS_PANEL_SQL, RAW_PANEL_SQL, previous_panel, raw_panel
-from terrapanel.registry import FIRMS, PANEL
+from terrapanel.registry import FIRMS, PANEL, SITES, Dataset
 
 AS_OF_YEAR = 2003
 
@@ -239,3 +239,64 @@ SELECT 'panel' AS dataset, CAST(0 AS BIGINT) AS rows_compared, CAST(0 AS BIGINT)
 def publish_first_run(spark, d):
     cmp = R.compare(Ctx(spark, d).panel, None, PANEL)
     return R.summary(cmp, PANEL, had_previous=False)
+
+
+SITES_RULES_SQL = """
+v AS (SELECT *, entity IS NOT NULL AND site IS NOT NULL AND trim(site) <> '' AND trim(entity) <> '' AND {0} AS ok FROM {1}),
+r AS (
+  SELECT 'row_count_min' AS rule, count(*)::DOUBLE AS observed, 3.0 AS threshold, '>=' AS op FROM v UNION ALL
+  SELECT 'row_count_max', count(*)::DOUBLE, 500.0, '<=' FROM v UNION ALL
+  SELECT 'valid_share', coalesce(avg(ok::INT), 0.0), 0.95, '>=' FROM v UNION ALL
+  {2} UNION ALL
+  SELECT 'blank_site', sum(coalesce(trim(site) = '', false)::INT)::DOUBLE, 0.0, '<=' FROM v UNION ALL
+  SELECT 'duplicate_key_rows', coalesce(sum(n), 0)::DOUBLE, 0.0, '<=' FROM (SELECT count(*) AS n FROM v GROUP BY entity, site HAVING count(*) > 1) UNION ALL
+  SELECT 'duplicate_rows', coalesce(sum(n), 0)::DOUBLE, 0.0, '<=' FROM (SELECT count(*) AS n FROM v GROUP BY entity, site, physical_score, transition_score, flood_score, heat_score, composite_score, phone HAVING count(*) > 1) UNION ALL
+  SELECT 'orphan_codes', count(*)::DOUBLE, 0.0, '<=' FROM (SELECT DISTINCT entity FROM v) WHERE entity NOT IN (SELECT n_name FROM nation WHERE n_regionkey < 4) UNION ALL
+  SELECT 'missing_expected', count(*)::DOUBLE, 0.0, '<=' FROM (SELECT n_name FROM nation WHERE n_name NOT IN (SELECT entity FROM v)) UNION ALL
+  SELECT 'missing_source_columns', 1.0, 0.0, '<=' UNION ALL
+  SELECT 'missing_contract_columns', 0.0, 0.0, '<=' UNION ALL
+  SELECT 'personal_column_names', 1.0, 0.0, '<=' UNION ALL
+  SELECT 'personal_fields', 1.0, 0.0, '<=')
+SELECT 'sites' AS dataset, rule, round(observed, 6) AS observed, threshold::DOUBLE AS threshold,
+       coalesce(CASE WHEN op = '>=' THEN observed >= threshold ELSE observed <= threshold END, false) AS passed FROM r
+"""
+_SCORES = ("physical_score", "transition_score", "flood_score", "heat_score", "composite_score")
+_SITE_NULLS = " UNION ALL ".join(f"SELECT 'nulls_{c}', sum(({c} IS NULL)::INT)::DOUBLE, 0.0, '<=' FROM v" for c in ("entity", "site", *_SCORES))
+
+
+@query("dq_rules_sites", ("D4", "D5", "D7", "D9", "D10", "D11", "D14", "D15a", "D16", "J6", "U5"), f"""
+WITH b AS (SELECT entity, CASE WHEN physical_score < 2 THEN ' ' ELSE left(site, 14) END AS site, {', '.join(_SCORES)}, NULL AS phone FROM sites),
+{SITES_RULES_SQL.format(' AND '.join(f'{c} BETWEEN 0 AND 10' for c in _SCORES), 'b', _SITE_NULLS).strip()}
+""")
+def dq_rules_sites(spark, d):
+    """All rules in one pass over sites whose names are cut short (keys collide), blank for the safest, with a column of phones."""
+    c = Ctx(spark, d)
+    site = F.when(F.col("physical_score") < 2, " ").otherwise(F.substring("site", 1, 14))
+    df = c.sites.select("entity", site.alias("site"), *_SCORES, F.lit(None).cast("string").alias("phone"))
+    return Q.rule_table(df, SITES, AS_OF_YEAR, expected=c.t.nation.select("n_name"), parent_codes=c.t.nation.where("n_regionkey < 4").select("n_name"),
+                        complete=True, source_columns=("site", "entity", "elevation"))
+
+
+@query("dq_rules_files", ("D8", "D13", "D10", "F9"), """
+WITH r AS (
+  SELECT 'row_count_min' AS rule, count(*)::DOUBLE AS observed, 1.0 AS threshold, '>=' AS op FROM orders UNION ALL
+  SELECT 'row_count_max', count(*)::DOUBLE, 100000.0, '<=' FROM orders UNION ALL
+  SELECT 'valid_share', 1.0, 0.95, '>=' UNION ALL
+  SELECT 'nulls_firm_id', 0.0, 0.0, '<=' UNION ALL
+  SELECT 'file_stamp_invalid', sum((month(o_orderdate) = 1 OR year(o_orderdate) < 2020)::INT)::DOUBLE, 0.0, '<=' FROM orders UNION ALL
+  SELECT 'file_age_days', date_diff('day', min(date_trunc('month', o_orderdate))::DATE, DATE '2003-01-01')::DOUBLE, 364.0, '<=' FROM orders WHERE month(o_orderdate) <> 1 UNION ALL
+  SELECT 'duplicate_key_rows', 0.0, 0.0, '<=' UNION ALL SELECT 'duplicate_rows', 0.0, 0.0, '<=' UNION ALL
+  SELECT 'missing_source_columns', 0.0, 0.0, '<=' UNION ALL SELECT 'missing_contract_columns', 0.0, 0.0, '<=' UNION ALL
+  SELECT 'personal_column_names', 0.0, 0.0, '<=' UNION ALL SELECT 'personal_fields', 0.0, 0.0, '<=')
+SELECT 'orders' AS dataset, rule, round(observed, 6) AS observed, threshold::DOUBLE AS threshold,
+       coalesce(CASE WHEN op = '>=' THEN observed >= threshold ELSE observed <= threshold END, false) AS passed FROM r
+""", views=False)
+def dq_rules_files(spark, d):
+    """Landed files named by their pull: one file a month of orders, unstamped where the month is a January."""
+    c = Ctx(spark, d)
+    o = c.t.orders
+    month = F.date_trunc("month", "o_orderdate")
+    name = F.when(F.month("o_orderdate") == 1, "pull_latest.csv").otherwise(F.concat(F.lit("pull_"), F.date_format(month, "yyyyMMdd'T'HHmmss'Z'"), F.lit(".csv")))
+    df = o.select(F.col("o_orderkey").alias("firm_id"), name.alias("_source_file"))
+    ds = Dataset(name="orders", key=("firm_id",), entity="firm_id")
+    return Q.rule_table(df, ds, AS_OF_YEAR, complete=True, as_of="2003-01-01")
