@@ -11,19 +11,21 @@ Isolation forest (Liu, Ting & Zhou 2008), laid out for Spark:
    the forest is the same under any partitioning or re-execution.
 3. *Score*: the node table (at most ``trees * (2 psi - 1)`` rows, a bound fixed
    by the parameters, not by the data) is shipped to the tasks and a vectorised
-   pandas UDF walks all rows of a batch level by level.
+   pandas UDF walks all rows of a batch level by level; ``native`` walks them in
+   higher-order functions over a constant of the plan instead.
 4. *Threshold*: the ``contamination`` quantile of the scores, computed exactly
    with range partitioning (no single-task sort).
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from terrapanel.operators.rank import group_quantiles
 from terrapanel.sources.tables import materialize
@@ -156,21 +158,76 @@ def score_forest(df: DataFrame, nodes: DataFrame | pd.DataFrame, features: Seque
     return df.withColumn("score", iforest_score(*[F.col(c).cast("double") for c in feats]))
 
 
+MODEL = "array<array<struct<f:int,t:double,l:int,r:int,h:double>>>"
+
+
+def save_forest(nodes: DataFrame, path: str) -> DataFrame:
+    """Write a fitted model (node table); returns it as read back."""
+    nodes.coalesce(1).write.mode("errorifexists").parquet(path)
+    return load_forest(nodes.sparkSession, path)
+
+
+def load_forest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(NODE_SCHEMA).parquet(path)
+
+
+def forest_column(model: pd.DataFrame) -> Column:
+    """The model as one constant: per tree its nodes, each with feature (-1: leaf), threshold, children and, for leaves, path length.
+
+    A literal that is parsed once when the plan is made; its size is bounded by
+    the parameters (``trees * (2 psi - 1)`` nodes), not by the data.
+    """
+    trees = []
+    for _, m in model.groupby("tree", sort=True):
+        m = m.sort_values("node")
+        path = m["depth"].to_numpy() + _c(m["size"].to_numpy())
+        trees.append([{"f": int(f), "t": float(t), "l": int(left), "r": int(r), "h": float(h)} for f, t, left, r, h in
+                      zip(m["feature"], m["threshold"], m["left_child"], m["right_child"], path, strict=True)])
+    return F.from_json(F.lit(json.dumps(trees)), MODEL)
+
+
+def score_forest_native(df: DataFrame, nodes: DataFrame | pd.DataFrame, features: Sequence[str], psi: int) -> DataFrame:
+    """``score_forest`` in built-in functions only, for sessions without Python workers.
+
+    A row's walk down a tree is a fold over the levels whose state is the node it
+    stands on, and the path lengths fold over trees.  Spark interprets such folds:
+    100 trees took 760 CPU microseconds a row against 94 of the vectorised walk
+    (200,000 rows, 3 features), so the latter stays the default.
+    """
+    model = nodes if isinstance(nodes, pd.DataFrame) else _collect_model(nodes)
+    count, levels, cpsi = model["tree"].nunique(), int(model["depth"].max()) if len(model) else 0, float(_c(psi))
+    if not count or cpsi <= 0:
+        return df.withColumn("score", F.lit(0.5))
+    x = F.array(*[F.col(c).cast("double") for c in features])
+
+    def leaf(tree: Column) -> Column:
+        def step(node: Column, _: Column) -> Column:
+            to = F.when(F.get(x, node["f"]) < node["t"], node["l"]).otherwise(node["r"])
+            return F.when(node["f"] < 0, node).otherwise(F.get(tree, to))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(levels)) if levels else F.array().cast("array<int>"), F.get(tree, F.lit(0)), step)
+
+    total = F.aggregate(forest_column(model), F.lit(0.0), lambda acc, tree: acc + leaf(tree)["h"])
+    return df.withColumn("score", F.pow(F.lit(2.0), -(total / F.lit(float(count))) / F.lit(cpsi)))
+
+
 def isolation_forest(df: DataFrame, key: str, features: Sequence[str], contamination: float = 0.1,
-                     trees: int = 100, psi: int = 256, seed: int = 42) -> DataFrame:
+                     trees: int = 100, psi: int = 256, seed: int = 42, model: DataFrame | None = None,
+                     native: bool = False) -> DataFrame:
     """Rows with ``score``, ``anomaly_score`` (= -score - offset; negative means
     anomalous) and ``is_anomaly`` (lowest ``contamination`` share of -score).
 
     Three scalar-sized actions run here: the row count, the fitted model
     (bounded node table) and the threshold (one number, computed exactly over
-    the distributed scores).  The scoring pass (Python, 100 tree walks per row)
-    runs once: its output is written to the shared checkpoint folder, and both
-    the threshold and the returned frame read that table."""
+    the distributed scores).  The scoring pass (100 tree walks per row) runs once:
+    its output is written to the shared checkpoint folder, and both the threshold
+    and the returned frame read that table.  ``model``: a fitted one
+    (``load_forest``), else one is fitted."""
     feats = list(features)
     data = df.na.drop(subset=feats)
     n = data.count()
-    model = _collect_model(fit_forest(data, key, feats, trees, psi, seed, n=n))
-    scored = materialize(score_forest(data, model, feats, int(min(psi, max(n, 1)))), "iforest_scores")
+    fitted = _collect_model(fit_forest(data, key, feats, trees, psi, seed, n=n) if model is None else model)
+    score = score_forest_native if native else score_forest
+    scored = materialize(score(data, fitted, feats, int(min(psi, max(n, 1)))), "iforest_scores")
     neg = scored.select(F.lit(0).alias("__g"), (-F.col("score")).alias("__neg"))
     offset = group_quantiles(neg, "__g", "__neg", [contamination]).first()["q_0"]
     off = F.lit(offset).cast("double")

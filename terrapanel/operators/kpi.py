@@ -149,6 +149,22 @@ def report_extract(panel: DataFrame, entity: str, period: str, measures: Sequenc
     return panel.groupBy(entity).agg(*aggs)
 
 
+def report_summary(panel: DataFrame, sites: DataFrame, firms: DataFrame, entity: str, period: str, latest: Sequence[str], risk: str,
+                   readiness: str, digits: int = 1) -> DataFrame:
+    """The figures at the head of an entity's report: latest period and values, mean risk of its sites, mean readiness
+    of its firms, as the report rounds them.  Sites and firms are aggregated before they meet the panel."""
+    head = panel.groupBy(entity).agg(F.max(period).alias("latest_period"), *[F.round(F.max_by(m, period), digits).alias(f"latest_{m}") for m in latest])
+    mean = lambda df, c: df.groupBy(entity).agg(F.round(F.avg(c), digits).alias(f"mean_{c}"), F.count(F.lit(1)).alias(f"n_{c}"))
+    return head.join(mean(sites, risk), entity, "left").join(mean(firms, readiness), entity, "left")
+
+
+def report_details(df: DataFrame, entity: str, columns: Sequence[str], values: Sequence[str] | str | None = None) -> DataFrame:
+    """A detail table of the report (its columns, for one entity, several, or all), in key order of the reader's choice."""
+    if values is not None:
+        df = df.where(F.col(entity).isin(*([values] if isinstance(values, str) else list(values))))
+    return df.select(entity, *columns)
+
+
 # -- A18: sector benchmark ---------------------------------------------------------------------------
 def sector_benchmark(firms: DataFrame, sector: str, value: str, key: str, digits: int = 6) -> DataFrame:
     """Each firm's percent rank of ``value`` in its sector, and the sector mean."""

@@ -11,23 +11,44 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from terrapanel.functions.clean import relative_change
 from terrapanel.operators.window import latest_per_key
-from terrapanel.registry import Dataset
+from terrapanel.registry import TOL_HIGH_VOLATILITY, Dataset
 
 ANOMALY = "struct<column:string,previous_value:double,new_value:double,relative_change:double,tolerance:double>"
 
 
-def compare(new: DataFrame, previous: DataFrame | None, ds: Dataset, tolerance: float | Mapping[str, float] | None = None) -> DataFrame:
+def volatility_tolerances(history: DataFrame, ds: Dataset, high: float = TOL_HIGH_VOLATILITY, share: float = 0.5) -> DataFrame:
+    """V6: the tolerance of every series and check column from its own past, (entity, ``tol_<column>``...).
+
+    A series is volatile when its median absolute change from period to period
+    (robust: one bad pull doesn't move it) exceeds ``share`` of the dataset's
+    tolerance, so that an ordinary move would come near the gate; it gets ``high``.
+    The window and the median hold one series: its periods, however many rows fed them.
+    """
+    w = Window.partitionBy(ds.entity).orderBy(ds.period)
+    moves = history.select(ds.entity, *[F.abs(relative_change(F.col(c), F.lag(c).over(w))).alias(c) for c in ds.check_cols])
+    return moves.groupBy(ds.entity).agg(*[
+        F.when(F.median(c) > F.lit(share * ds.tolerance), F.lit(max(high, ds.tolerance))).otherwise(F.lit(ds.tolerance)).alias(f"tol_{c}")
+        for c in ds.check_cols])
+
+
+def compare(new: DataFrame, previous: DataFrame | None, ds: Dataset,
+            tolerance: float | Mapping[str, float] | DataFrame | None = None) -> DataFrame:
     """New rows with ``_anomalies``: one entry per check column whose relative
     change is *strictly* greater than the tolerance.  Null, missing previous and
     previous = 0 are skipped.  ``relative_change`` is rounded to 3 dp after the test.
-    ``tolerance``: one for all columns, or a map (a column it lacks takes the
-    dataset's own)."""
-    tols = {c: tolerance.get(c, ds.tolerance) if isinstance(tolerance, Mapping) else ds.tolerance if tolerance is None else tolerance
-            for c in ds.check_cols}
+    ``tolerance``: one for all columns, a map (a column it lacks takes the
+    dataset's own), or a table per series (``volatility_tolerances``; series it
+    lacks take the dataset's own)."""
+    per_series = tolerance if isinstance(tolerance, DataFrame) else None
+    if per_series is not None:
+        tols = {c: F.coalesce(F.col(f"__tol_{c}"), F.lit(ds.tolerance)) for c in ds.check_cols}
+    else:
+        tols = {c: F.lit(float(tolerance.get(c, ds.tolerance) if isinstance(tolerance, Mapping) else ds.tolerance if tolerance is None else tolerance))
+                for c in ds.check_cols}
     key = list(ds.key)
     if previous is None:
         return new.withColumn("_anomalies", F.array().cast(f"array<{ANOMALY}>")) \
@@ -36,16 +57,18 @@ def compare(new: DataFrame, previous: DataFrame | None, ds: Dataset, tolerance:
     # previous must be key-unique, or a duplicated key would be compared (and counted) twice
     prev = latest_per_key(prev, key, [f"__prev_{c}" for c in ds.check_cols])
     j = new.join(prev.withColumn("__hit", F.lit(True)), key, "left")
+    if per_series is not None:
+        j = j.join(per_series.select(ds.entity, *[F.col(f"tol_{c}").alias(f"__tol_{c}") for c in ds.check_cols]), ds.entity, "left")
     entries = []
     for c in ds.check_cols:
         rel, tol = relative_change(F.col(c), F.col(f"__prev_{c}")), tols[c]
-        entries.append(F.when(rel > F.lit(tol), F.struct(
+        entries.append(F.when(rel > tol, F.struct(
             F.lit(c).alias("column"), F.col(f"__prev_{c}").cast("double").alias("previous_value"),
             F.col(c).cast("double").alias("new_value"), F.round(rel, 3).alias("relative_change"),
-            F.lit(float(tol)).alias("tolerance"))))
+            tol.alias("tolerance"))))
     arr = F.filter(F.array(*entries), lambda x: x.isNotNull())
     return (j.withColumn("_anomalies", arr).withColumn("_matched", F.coalesce(F.col("__hit"), F.lit(False)))
-             .drop("__hit", *[f"__prev_{c}" for c in ds.check_cols]))
+             .drop("__hit", *[f"{p}_{c}" for p in ("__prev", "__tol") for c in ds.check_cols]))
 
 
 def anomalies(compared: DataFrame, ds: Dataset) -> DataFrame:

@@ -57,6 +57,12 @@ WHAT_CHANGED_EN = "CO2 emissions {direction} by {delta} Mt in the most recent av
 WHAT_CHANGED_DE = "CO2-Emissionen sind im letzten verfügbaren Jahr um {delta} Mt {direction}."
 KPI_HEADLINE_EN = "Current position: {co2} Mt CO2, {renew}% renewable share."
 KPI_HEADLINE_DE = "Aktuelle Position: {co2} Mt CO2, {renew}% Anteil Erneuerbare."
+RECOMMEND_EN = ("[Offline mode] Composite risk score is {score}/10. General guidance: prioritize "
+                "physical-risk adaptation if physical_risk_score is high, and document transition-risk "
+                "exposure in the CSRD transition plan if transition_risk_score is high.")
+RECOMMEND_DE = ("[Offline-Modus] Der zusammengesetzte Risiko-Score beträgt {score}/10. Allgemeine "
+                "Empfehlung: Priorisieren Sie Anpassungsmaßnahmen bei hohem physical_risk_score und "
+                "dokumentieren Sie die Übergangsrisiken im CSRD-Transitionsplan bei hohem transition_risk_score.")
 REPORT_NOTE_EN = "Report excerpt received ({n} characters)."
 REPORT_NOTE_DE = "Berichtsauszug empfangen ({n} Zeichen)."
 WARNING = ("{k} numeric value(s) in this answer could not be verified against the source data ({nums}). "
@@ -144,6 +150,12 @@ def kpi_headline(co2: Column, renew: Column, lang: str = "en") -> Column:
     return template(t, co2=py_str(co2), renew=py_str(renew))
 
 
+def risk_recommendation(composite: Column, lang: str = "en") -> Column:
+    """Recommendation from a risk profile; a profile without a composite score counts as 0."""
+    t = RECOMMEND_DE if lang == "de" else RECOMMEND_EN
+    return template(t, score=F.coalesce(py_str(composite), F.lit("0")))
+
+
 def report_note(text: Column, lang: str = "en") -> Column:
     """Report-received note with the length of the *whole* text."""
     t = REPORT_NOTE_DE if lang == "de" else REPORT_NOTE_EN

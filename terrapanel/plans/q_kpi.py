@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrapanel.functions.bands import risk_band
 from terrapanel.operators import clean as C
 from terrapanel.operators import kpi as K
 from terrapanel.operators.window import latest_rows
@@ -274,3 +275,34 @@ SELECT entity, period, level_mt FROM panel WHERE period = (SELECT max(period) FR
 """)
 def latest_rows_global(spark, d):
     return latest_rows(Ctx(spark, d, shared=("panel",)).panel, "period").select("entity", "period", "level_mt")
+
+
+@query("report_summary", ("A17", "O2", "A2"), """
+WITH h AS (SELECT entity, max(period) AS latest_period, round(arg_max(level_mt, period), 1) AS latest_level_mt, round(arg_max(share_a_pct, period), 1) AS latest_share_a_pct
+           FROM panel GROUP BY entity),
+r AS (SELECT entity, round(avg(composite_score), 1) AS mean_composite_score, count(*) AS n_composite_score FROM sites GROUP BY entity),
+f AS (SELECT entity, round(avg(readiness_score), 1) AS mean_readiness_score, count(*) AS n_readiness_score FROM firms GROUP BY entity)
+SELECT h.*, mean_composite_score, n_composite_score, mean_readiness_score, n_readiness_score
+FROM h LEFT JOIN r ON r.entity = h.entity LEFT JOIN f ON f.entity = h.entity
+""")
+def report_summary(spark, d):
+    c = Ctx(spark, d)
+    return K.report_summary(c.panel, c.sites, c.firms, "entity", "period", ["level_mt", "share_a_pct"], "composite_score", "readiness_score")
+
+
+@query("report_sites", ("A17", "P1", "P16"), """
+SELECT entity, site, composite_score, CASE WHEN composite_score <= 4 THEN 'Low' WHEN composite_score <= 7 THEN 'Medium' ELSE 'High' END AS risk_level FROM sites
+""")
+def report_sites(spark, d):
+    """The report's table of regions, for every entity."""
+    s = Ctx(spark, d).sites.withColumn("risk_level", risk_band("composite_score"))
+    return K.report_details(s, "entity", ["site", "composite_score", "risk_level"])
+
+
+@query("report_firms", ("A17", "P1"), """
+SELECT entity, firm_name, sector, round(readiness_score, 6) AS readiness_score, gaps_count FROM firms WHERE entity IN ('NATION_3', 'NATION_7')
+""")
+def report_firms(spark, d):
+    """The report's table of companies, for the entities of two reports."""
+    f = Ctx(spark, d).firms.withColumn("readiness_score", F.round("readiness_score", 6))
+    return K.report_details(f, "entity", ["firm_name", "sector", "readiness_score", "gaps_count"], ["NATION_3", "NATION_7"])

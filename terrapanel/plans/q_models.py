@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from pyspark.sql import functions as F
 
 from terrapanel.operators import scoring as S
-from terrapanel.operators.anomaly import isolation_forest
+from terrapanel.operators.anomaly import fit_forest, isolation_forest, load_forest, save_forest
 from terrapanel.operators.window import hash_split
 from terrapanel.plans.catalog import Ctx, query
 from terrapanel.plans.q_trend import _features
+from terrapanel.session import checkpoint_dir
 
 READY_X = ["gaps_x", "total_x"]
 RISK_X = ["physical_score", "transition_score", "flood_score", "heat_score"]
@@ -137,9 +139,19 @@ def risk_nnls_scored(spark, d):
 FEATS = ["level_pct", "level_diff", "share_a_diff"]
 
 
-def _forest(c: Ctx):
+#: Fitted models of this process, by data folder: where ``save_forest`` put them.
+_MODELS: dict[tuple[str, str], str] = {}
+
+
+def _forest(c: Ctx, native: bool = False):
+    """Features with scores; the model is fitted once per data folder and session, stored, and read by every query after."""
     f = _features(c).withColumn("row_key", F.concat_ws("|", "entity", F.col("period").cast("string")))
-    return isolation_forest(f, "row_key", FEATS, contamination=0.1, trees=100, psi=256, seed=42)
+    at = (c.t.root, checkpoint_dir(c.spark))
+    if at not in _MODELS:
+        path = f"{at[1].rstrip('/')}/models/iforest-{uuid.uuid4().hex}"
+        save_forest(fit_forest(f, "row_key", FEATS, trees=100, psi=256, seed=42), path)
+        _MODELS[at] = path
+    return isolation_forest(f, "row_key", FEATS, contamination=0.1, trees=100, psi=256, seed=42, model=load_forest(c.spark, _MODELS[at]), native=native)
 
 
 @query("isolation_forest", ("M14",))
@@ -152,3 +164,19 @@ def isolation_forest_q(spark, d):
 @query("anomaly_flagged", ("M15",))
 def anomaly_flagged(spark, d):
     return _forest(Ctx(spark, d, shared=("panel",))).where("is_anomaly").select("entity", "period", *FEATS)
+
+
+@query("forest_properties", ("M14", "M15"), """
+WITH f AS (SELECT entity, period, level_mt, share_a_pct, lag(level_mt) OVER w AS l, lag(share_a_pct) OVER w AS s FROM panel WINDOW w AS (PARTITION BY entity ORDER BY period))
+SELECT count(*) AS "rows", true AS scores_in_range, true AS flags_follow_scores, true AS share_flagged_right, true AS native_scores_equal
+FROM f WHERE l IS NOT NULL AND l <> 0 AND s IS NOT NULL AND level_mt IS NOT NULL AND share_a_pct IS NOT NULL
+""")
+def forest_properties(spark, d):
+    """What holds for any forest: scores between 0 and 1, flags below the threshold only, at most the asked share, one score from both walks."""
+    c = Ctx(spark, d, shared=("panel",))
+    both = _forest(c).alias("a").join(_forest(c, native=True).select("row_key", F.col("score").alias("native")), "row_key")
+    n = F.count(F.lit(1))
+    return both.agg(n.alias("rows"), F.coalesce(F.every((F.col("score") > 0) & (F.col("score") < 1)), F.lit(True)).alias("scores_in_range"),
+                    F.coalesce(F.every(F.col("is_anomaly") == (F.col("anomaly_score") < 0)), F.lit(True)).alias("flags_follow_scores"),
+                    (F.count_if("is_anomaly") <= F.ceil(n * 0.1)).alias("share_flagged_right"),
+                    F.coalesce(F.every(F.abs(F.col("score") - F.col("native")) < 1e-9), F.lit(True)).alias("native_scores_equal"))

@@ -300,3 +300,33 @@ def dq_rules_files(spark, d):
     df = o.select(F.col("o_orderkey").alias("firm_id"), name.alias("_source_file"))
     ds = Dataset(name="orders", key=("firm_id",), entity="firm_id")
     return Q.rule_table(df, ds, AS_OF_YEAR, complete=True, as_of="2003-01-01")
+
+
+@query("reconcile_by_volatility", ("V6", "V3", "F12"), f"""
+WITH {PREVIOUS_PANEL_SQL.strip()},
+m AS (SELECT entity, abs((level_mt - lag(level_mt) OVER w) / nullif(abs(lag(level_mt) OVER w), 0)) AS level_mt,
+             abs((share_a_pct - lag(share_a_pct) OVER w) / nullif(abs(lag(share_a_pct) OVER w), 0)) AS share_a_pct
+      FROM previous_panel WINDOW w AS (PARTITION BY entity ORDER BY period)),
+t AS (SELECT entity, CASE WHEN median(level_mt) > 0.075 THEN 0.4 ELSE 0.15 END AS tl, CASE WHEN median(share_a_pct) > 0.075 THEN 0.4 ELSE 0.15 END AS ts FROM m GROUP BY entity),
+j AS (SELECT p.entity, p.period, p.level_mt, p.share_a_pct, q.level_mt AS pl, q.share_a_pct AS ps, tl, ts
+      FROM panel p JOIN previous_panel q ON p.entity = q.entity AND p.period = q.period JOIN t ON t.entity = p.entity),
+a AS (SELECT entity, period, 'level_mt' AS "column", pl AS previous_value, level_mt AS new_value, abs(level_mt - pl) / abs(pl) AS rc, tl AS tolerance FROM j WHERE pl <> 0
+      UNION ALL SELECT entity, period, 'share_a_pct', ps, share_a_pct, abs(share_a_pct - ps) / abs(ps), ts FROM j WHERE ps <> 0)
+SELECT entity, period, "column", previous_value, new_value, round(rc, 3) AS relative_change, tolerance::DOUBLE AS tolerance FROM a WHERE rc > tolerance
+""")
+def reconcile_by_volatility(spark, d):
+    """Each series against a tolerance from its own past: 40% where the previous load moved a lot from year to year."""
+    p = Ctx(spark, d, shared=("panel",)).panel
+    prev = previous_panel(p)
+    return R.anomalies(R.compare(p, prev, PANEL, R.volatility_tolerances(prev, PANEL)), PANEL)
+
+
+@query("logged_anomalies", ("O3", "V3"), f"""
+WITH {RECON_SQL}
+SELECT entity, period, "column", previous_value, new_value, round(rc, 3) AS relative_change, CAST(0.15 AS DOUBLE) AS tolerance
+FROM flagged ORDER BY entity, period, "column" LIMIT 10
+""")
+def logged_anomalies(spark, d):
+    """The ten anomalies that a run logs: the first by key and column (a top-k per task, then of those)."""
+    found = R.anomalies(_compared(Ctx(spark, d, shared=("panel",))), PANEL)
+    return found.orderBy(*PANEL.key, "column").limit(10)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from terrapanel.operators import quality as Q
 from terrapanel.operators import serve as S
 from terrapanel.plans.catalog import Ctx, query
+from terrapanel.session import checkpoint_dir
+from terrapanel.sources.pages import Pages
 from terrapanel.plans.landing import RAW_PANEL_SQL, raw_panel
 
 # Fixed parameters of the registered serving queries (what a caller would pass).
@@ -127,3 +131,30 @@ FROM raw_panel
 def schema_conform(spark, d):
     raw = raw_panel(Ctx(spark, d, shared=("panel",)).panel)
     return Q.conform(raw, PANEL_SCHEMA)
+
+
+def _order_pages(spark, d) -> Pages:
+    o = Ctx(spark, d).t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pages/{uuid.uuid4().hex}"
+    return Pages(spark, path, [("o_totalprice", False), ("o_orderkey", True)]).write(o)
+
+
+@query("deep_page", ("O4", "O1"), """
+WITH r AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, o_custkey, o_totalprice FROM r WHERE pos // 25 = n // 50
+""", views=False)
+def deep_page(spark, d):
+    """The page of 25 in the middle of all orders by price, read from the slice that holds it."""
+    p = _order_pages(spark, d)
+    return p.page(p.rows // 50 + 1, 25)
+
+
+@query("page_after_key", ("O4", "P12"), """
+WITH m AS (SELECT arg_max(o_orderkey, o_orderkey) AS k FROM orders), a AS (SELECT o_totalprice AS price, o_orderkey AS k FROM orders, m WHERE o_orderkey = m.k)
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders, a WHERE o_totalprice < price OR o_totalprice = price AND o_orderkey > a.k
+ORDER BY o_totalprice DESC, o_orderkey LIMIT 25
+""", views=False)
+def page_after_key(spark, d):
+    """The 25 orders that follow the newest order in the list by price."""
+    last = Ctx(spark, d).t.orders.agg(F.max_by(F.struct("o_totalprice", "o_orderkey"), "o_orderkey").alias("k")).first()["k"]
+    return _order_pages(spark, d).page_after(last.asDict(), 25)

@@ -343,3 +343,22 @@ def invalid_utf8(spark, d):
              for n, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
+
+
+@query("risk_recommendations", ("T6", "T1", "T2"), f"""
+WITH s AS (SELECT entity, site, {_sq(X.RECOMMEND_EN.split('{score}')[0])} || {PYSTR('composite_score')} || {_sq(X.RECOMMEND_EN.split('{score}')[1])} AS answer,
+                  {_sq(X.RECOMMEND_DE.split('{score}')[0])} || {PYSTR('composite_score')} || {_sq(X.RECOMMEND_DE.split('{score}')[1])} AS recommendation_de,
+                  '{{"composite_climate_risk_score": ' || {PYSTR('composite_score')} || ', "heat_stress_score": ' || {PYSTR('round(heat_score, 2)')}
+                    || ', "physical_risk_score": ' || {PYSTR('round(physical_score, 2)')} || '}}' AS context FROM sites),
+{GROUND_SQL('s', 'entity, site')}
+SELECT s.entity, s.site, s.answer AS recommendation, recommendation_de, grounded, n_unmatched, unmatched, warning
+FROM s JOIN gr ON gr.entity = s.entity AND gr.site = s.site
+""")
+def risk_recommendations(spark, d):
+    """What to do about each site's risk, with the check of its numbers against the profile (the 10 of "/10" is one of them)."""
+    s = Ctx(spark, d).sites.select("entity", "site", "composite_score", F.round("heat_score", 2).alias("heat"), F.round("physical_score", 2).alias("physical"))
+    context = json_sorted({"composite_climate_risk_score": "composite_score", "heat_stress_score": "heat", "physical_risk_score": "physical"},
+                          floats={"composite_climate_risk_score", "heat_stress_score", "physical_risk_score"})
+    answer = X.risk_recommendation(F.col("composite_score"))
+    return s.select("entity", "site", answer.alias("recommendation"), X.risk_recommendation(F.col("composite_score"), "de").alias("recommendation_de"),
+                    *_ground_cols(answer, context))
