@@ -33,6 +33,8 @@ from terrapanel.llm.common import materialize
 from terrapanel.session import checkpoint_dir
 
 RANGE_BYTES = 4 << 20
+#: Reading tasks at most; beyond it a task reads several ranges.
+MAX_TASKS = 20_000
 CHUNK = 1 << 16
 LEVEL = 5
 DATE = "1970-01-01T00:00:00Z"
@@ -210,6 +212,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = R
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
 
-    return (ranges.repartition("path", "start")
+    # one task a range, up to MAX_TASKS: a number given is not coalesced, however small the table of ranges is
+    tasks = max(1, min(ranges.count(), MAX_TASKS))
+    return (ranges.repartition(tasks)
             .mapInArrow(read, "path string, offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
                         + ", payload binary" * with_payload))
