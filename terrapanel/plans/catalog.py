@@ -90,6 +90,6 @@ class Ctx:
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
     from terrapanel.plans import (  # noqa: F401
-        q_kpi, q_quality, q_reshape, q_serve, q_text, q_trend, q_models, q_sources, q_bands, q_intake, q_snapshots, q_streams,
+        q_kpi, q_quality, q_reshape, q_serve, q_text, q_trend, q_models, q_sources, q_bands, q_intake, q_landed, q_snapshots, q_streams,
     )
     return QUERIES

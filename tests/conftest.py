@@ -30,6 +30,21 @@ def spark():
     yield s
 
 
+@pytest.fixture(scope="session")
+def frame(spark):
+    """Frames of the registered queries over the small tables, each built once a session (building one may run jobs)."""
+    from terrapanel.plans.catalog import load_all
+
+    held = {}
+
+    def get(name):
+        if name not in held:
+            held[name] = load_all()[name].fn(spark, SF_SMALL)
+        return held[name]
+
+    return get
+
+
 @pytest.fixture()
 def tmp_dir():
     return tempfile.mkdtemp(prefix="terrapanel-test-")

@@ -19,13 +19,13 @@ def con():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_oracle(spark, con, name):
+def test_query_matches_oracle(spark, frame, con, name):
     q = QUERIES[name]
     if q.sql is None:
-        df = q.fn(spark, SF_SMALL)
+        df = frame(name)
         assert df.count() >= 0 and df.schema == q.fn(spark, SF_SMALL).schema
         return
-    r = compare(spark, con, name, q.fn, q.sql, SF_SMALL)
+    r = compare(spark, con, name, lambda *_: frame(name), q.sql, SF_SMALL)
     assert r["cols_match"], r.get("cols")
     assert r["spark_rows"] == r["duck_rows"]
     assert r["hash_match"], r.get("diff")

@@ -26,8 +26,8 @@ def plan(df) -> str:
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON_OK))
-def test_no_cartesian_and_no_python(spark, name):
-    p = plan(QUERIES[name].fn(spark, SF_SMALL))
+def test_no_cartesian_and_no_python(frame, name):
+    p = plan(frame(name))
     assert "CartesianProduct" not in p
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
         assert node not in p, f"{name} runs Python: {node}"
@@ -91,12 +91,12 @@ def test_forest_scores_once(spark):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_large_tables_scanned_at_most_once(spark, name):
+def test_large_tables_scanned_at_most_once(frame, name):
     """orders and lineitem are the tables that grow fastest: no query plan may read
     either twice (views a query reuses are written once, see Ctx.shared)."""
     import re
 
-    df = QUERIES[name].fn(spark, SF_SMALL)
+    df = frame(name)
     scans = re.findall(r"file:[^\]]*/(\w+)\.parquet", df._jdf.queryExecution().executedPlan().toString())
     for table in ("orders", "lineitem"):
         assert scans.count(table) <= 1, f"{name} scans {table} {scans.count(table)} times"
