@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrapanel.llm.common import WORD, materialize, with_row
-from terrapanel.operators.rank import value_ranks
+from terrapanel.operators.rank import group_positions, value_ranks
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, LIMIT = 1.5, 2.0
@@ -73,6 +73,8 @@ def _draw(seed: int, a: Column, b: Column) -> Column:
 
 
 KEY = "struct<id:bigint,tag:bigint>"
+#: Equal rows that are numbered in one task.
+COPIES = 4096
 ITEM = f"struct<key:{KEY},size:bigint,whole:int,p:double>"
 DONE = f"array<struct<key:{KEY},size:bigint,whole:int,one:int>>"
 
@@ -157,6 +159,16 @@ def size_cuts(sizes: DataFrame, strata: tuple[float, ...] = STRATA) -> DataFrame
     return ranks.groupBy("source").agg(F.array(*[F.min(F.when(up_to >= F.lit(q) * F.col("grp_n"), F.col("size"))) for q in strata]).alias("cuts"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``no``, 1 to the number of rows equal to it: the same whatever order the rows come in."""
+    folded = materialize(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "mix_folded")
+    few = folded.filter(F.col("n") <= COPIES).select(*rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("no"))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))
+    many = folded.filter(F.col("n") > COPIES).select(*rows.columns, "n", starts.alias("start")).repartition("id", "tag", "start")
+    part = F.explode(F.sequence(F.col("start") + 1, F.least("n", F.col("start") + COPIES)))
+    return few.unionByName(many.select(*rows.columns, part.alias("no")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, group: int = GROUP, seed: int = SEED,
         strata: tuple[float, ...] = STRATA) -> DataFrame:
@@ -168,19 +180,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Edge cases: a null text has size 0; documents of size 0 get the whole part
     of their expected copies.  Null is a source of its own, sorted last.  A null
-    id is a value like others.  Repeated rows are rounded each on its own, but in
-    one group.  An empty table, or one without words, takes nothing.
+    id is a value like others.  Repeated rows are rounded each on its own: equal
+    ones are folded to one with a count and numbered, and the number is part of
+    the key that deals rows to groups.  An empty table, or one without words,
+    takes nothing.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"),
                        F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"))
-    rows = materialize(rows, "mix_rows")
+    rows = materialize(numbered(rows), "mix_rows")
+    # the first of equal rows goes by the hash of its text, the others by that and their number
+    name = F.when(F.col("no") == 1, F.col("tag")).otherwise(F.xxhash64("tag", "no"))
+    others = rows.filter("no > 1").select(F.col("id").alias("o_id"), name.alias("o_name"), F.col("tag").alias("o_tag"))
     goal = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit), "mix_targets")
     goal = goal.withColumnRenamed("source", "s")
     match = F.col("source").eqNullSafe(F.col("s"))
     rows = rows.join(goal, match)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(expected + SETTLED)  # 2 and 1.9999999999 copies alike: nothing is left to round
-    rows = rows.select("source", F.struct(F.struct("id", "tag").alias("key"), "size", whole.cast("int").alias("whole"),
+    rows = rows.select("source", F.struct(F.struct("id", name.alias("tag")).alias("key"), "size", whole.cast("int").alias("whole"),
                                           (expected - whole).alias("p")).cast(ITEM).alias("item"))
     sure = (F.col("item.p") < SETTLED) | (F.col("item.size") == 0)
     out = rows.filter(sure).select("source", "item.key", "item.size", "item.whole", F.lit(0).alias("one"))
@@ -207,8 +224,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             state = (state.join(took, F.col("s").eqNullSafe(F.col("s2")), "left")
                      .withColumn("mass", F.col("mass") - F.coalesce("took", F.lit(0))).drop("s2", "took"))
     copies = (F.col("whole") + F.col("one")).cast("int")
+    out = out.select("*", F.col("key.tag").alias("tag"))
+    if not others.isEmpty():
+        out = out.join(others, F.col("key.id").eqNullSafe(F.col("o_id")) & (F.col("tag") == F.col("o_name")), "left")
+        out = out.withColumn("tag", F.coalesce("o_tag", "tag"))
     return (out.join(goal, match)
-            .select(F.col("key.id").alias("doc_id"), F.col("key.tag").alias("tag"), "source", "size", "source_size", "target",
+            .select(F.col("key.id").alias("doc_id"), "tag", "source", "size", "source_size", "target",
                     copies.alias("copies"), (copies * F.col("size")).alias("taken")))
 
 
@@ -222,8 +243,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     per = materialize(taken.groupBy("doc_id", "tag").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")), "mix_copies")
     rows = with_row(docs, id=F.col(id_col).cast("long"), t=F.xxhash64(F.col(text_col).cast("string")))
     rows = rows.join(per, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tag")))
-    place = F.row_number().over(Window.partitionBy("id", "t").orderBy(F.xxhash64("row")))
-    many = rows.filter("rows > 1").withColumn("place", place)
-    share = F.floor(F.col("copies") / F.col("rows")) + (F.col("place") <= F.col("copies") % F.col("rows")).cast("long")
-    both = rows.filter("rows = 1").select("row", "copies").unionByName(many.select("row", share.alias("copies")))
+    both = rows.filter("rows = 1").select("row", "copies")
+    if not per.filter("rows > 1").isEmpty():  # positions by slices, so that no row that repeats is held by one task
+        many = group_positions(rows.filter("rows > 1").select("id", "t", "row", "copies", "rows", F.xxhash64("row").alias("turn")), ["id", "t"], "turn")
+        share = F.floor(F.col("copies") / F.col("rows")) + (F.col("pos") <= F.col("copies") % F.col("rows")).cast("long")
+        both = both.unionByName(many.select("row", share.alias("copies")))
     return (both.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*"))
