@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.llm.common import materialize
+
 MAX_LABELS = 20_000
 MAX_PAIRS = 100_000
 RIDGE = 1e-3
@@ -138,14 +140,22 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           max_labels: int = MAX_LABELS, seed: int = SEED) -> Model:
-    """Fit on labelled documents outside the held-out rows; null ids and labels other than 0 and 1 are left out."""
+    """Fit on labelled documents outside the held-out rows; null ids and labels other than 0 and 1 are left out.
+
+    An id counts once, so that ``max_labels`` bounds what is drawn, broadcast and
+    gathered whatever repeats: ids with both labels are left out, and of several
+    texts of an id the smallest is taken.  Without documents or labels the model
+    gives every text the same score.
+    """
     y = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col))
-         .select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")))
+         .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(label_col).cast("int")).alias("y"), F.max(F.col(label_col).cast("int")).alias("most"))
+         .filter("y = most").drop("most"))
+    y = materialize(y, "quality_labels")
     n = y.count()
     part = min(1.0, max_labels / max(n, 1))
     y = y.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) < int(part * (1 << 40)))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = text.join(F.broadcast(y), "id").select("id", "y", "text")
+    rows = text.join(F.broadcast(y), "id").groupBy("id", "y").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
