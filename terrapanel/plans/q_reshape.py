@@ -60,3 +60,17 @@ def code_differences(spark, d):
             F.lit("firm_entities_not_in_panel").alias("check_name"), "code"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("radar_latest", ("P23", "W5", "U3"), """
+WITH m AS (SELECT *, max(period) OVER (PARTITION BY entity) AS last FROM panel)
+SELECT entity, period, axis, value FROM (
+  SELECT entity, period, share_a_pct, share_b_pct, share_c_pct FROM m WHERE period = last)
+UNPIVOT (value FOR axis IN (share_a_pct, share_b_pct, share_c_pct))
+""")
+def radar_latest(spark, d):
+    """One row for each axis of every entity's radar: its shares in its own latest year."""
+    p = Ctx(spark, d, shared=("panel",)).panel
+    axes = ["share_a_pct", "share_b_pct", "share_c_pct"]
+    lt = latest_rows(p, "period", "entity", mode="per_entity")
+    return lt.select("entity", "period", *axes).unpivot(["entity", "period"], axes, "axis", "value").where("value IS NOT NULL")
