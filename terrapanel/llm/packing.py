@@ -217,8 +217,8 @@ def best_two_fit(lengths: np.ndarray, capacity: int, small: int = SMALL) -> tupl
 def pack(rows: DataFrame, keys: list[str], capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``rows`` of a ``length`` of 1 to ``capacity``.
 
-    ``keys`` name a row (rows that agree in them only need not be unique; they
-    then share a shard).  Every row is placed once; offsets of a sequence run
+    ``keys`` name a row: rows are dealt to shards by their hash, so rows that agree
+    in them share a shard.  Every row is placed once; offsets of a sequence run
     gapless from 0.  An empty table gives no rows.
     """
     fields, done = rows.columns, []
@@ -264,7 +264,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Edge cases: null and empty texts are one-token documents; rows with a null
     id are packed like others; repeated rows are packed each; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  Pieces are dealt by a row number
+    written with them, so null or repeated ids spread over all shards.
     """
-    cut = materialize(pieces(docs, id_col, text_col, capacity, vocabulary, end_id, with_ids), "pieces")
-    return pack(cut, ["doc_id", "piece"], capacity, shard)
+    cut = pieces(docs, id_col, text_col, capacity, vocabulary, end_id, with_ids).withColumn("row_no", F.monotonically_increasing_id())
+    return pack(materialize(cut, "pieces"), ["row_no"], capacity, shard).drop("row_no")
