@@ -31,10 +31,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the smallest doc_id; rows without a doc_id stay."""
-    groups = minhash_bottomk.near_duplicates(docs)
-    gone = materialize(groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "pipeline_gone")
-    return with_row(docs, id=F.col("doc_id")).join(gone, "id", "left_anti").select("row.*")
+    """One document of each group of near duplicates: the one with the smallest doc_id (a null id only if none has one).
+
+    Every row is a node of its own by a number written with it, so rows without
+    a doc_id, or with one that others have too, are grouped by their texts like all others.
+    """
+    rows = materialize(with_row(docs, node=F.monotonically_increasing_id()), "pipeline_rows")
+    groups = minhash_bottomk.near_duplicates(rows.select("node", F.col("row.text").alias("text")), id_col="node")
+    groups = materialize(groups.select("node", "component_id"), "pipeline_groups")
+    several = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    member = groups.join(several, "component_id").join(rows.select("node", F.col("row.doc_id").alias("doc_id")), "node")
+    member = materialize(member, "pipeline_members")
+    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))["node"].alias("first"))
+    gone = materialize(member.join(first, "component_id").filter("node <> first").select("node"), "pipeline_gone")
+    return rows.join(gone, "node", "left_anti").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
