@@ -33,8 +33,9 @@ LOOSE = 64
 SMALL = 6
 LEVELS = 12
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept with their ids by a Python worker, and the longest such word: some 300 MB at most.
-CACHED_WORDS, CACHED_LENGTH = 1_000_000, 48
+#: Words and parts of words that a Python worker keeps with their ids, in each of two generations (some 180 bytes
+#: each, 36 MB in all), and the longest such word.
+CACHED_WORDS, CACHED_LENGTH = 100_000, 48
 PRINTABLE = re.compile("[!-~]+").fullmatch
 #: Fixed value: the vocabulary's pre-tokenizer pattern, for lower-case ASCII.
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
@@ -47,6 +48,9 @@ class WordIds:
     maps every run of it to one blank that the pre-tokenizer drops, so the ids
     of a text are those of its words in order.  Python also splits at U+001C to
     U+001F, which the normaliser keeps: texts with them are encoded whole.
+
+    Known words and parts share a table: a part alone is a word of that one part.
+    A full table becomes the old one, from which words in use come back.
     """
 
     def __init__(self, path: str):
@@ -55,49 +59,51 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
         self.model = self.tokenizer.model
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """(word, ids) of new words.
+    def _learn(self, words: set[str]) -> list[str]:
+        """Add ``words`` to the known ones; those too long to keep are returned.
 
         Printable ASCII needs no normaliser but lower case, and its bytes stand
         for themselves: the pre-tokenizer's pattern cuts it into parts, which the
         model encodes.  Other words, and those with a special token in them, go
         through the whole tokenizer.
         """
-        rest = []
+        known, old, rest = self.known, self.old, []
         for w in words:
+            if (ids := old.get(w)) is not None:
+                known[w] = ids
+                continue
             if len(w) > CACHED_LENGTH or not PRINTABLE(w) or "<|" in w:
                 rest.append(w)
                 continue
-            parts = PARTS(w.lower())
-            for x in parts:
-                if x not in self.parts:
-                    self.parts[x] = np.array([t.id for t in self.model.tokenize(x)], dtype="<u4").tobytes()
-            yield w, b"".join([self.parts[x] for x in parts])
-        yield from zip(rest, self._encode(rest), strict=True)
+            own = []
+            for x in PARTS(w.lower()):
+                ids = known.get(x) or old.get(x)
+                if ids is None:
+                    ids = np.array([t.id for t in self.model.tokenize(x)], dtype="<u4").tobytes()
+                known[x] = ids
+                own.append(ids)
+            known[w] = b"".join(own)
+        known.update(zip(rest, self._encode(rest), strict=True))
+        return [w for w in rest if len(w) > CACHED_LENGTH]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for s in range(0, len(texts), 64):
             part = texts[s:s + 64]
             words = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in part]
-            new = set().union(*(w for w in words if w is not None)).difference(self.known)
-            if new:
-                if len(self.known) + len(new) > CACHED_WORDS:
-                    self.known.clear()
-                    self.parts.clear()
-                    new = set().union(*(w for w in words if w is not None))
-                self.known.update(self._words(list(new)))
+            if len(self.known) > CACHED_WORDS:
+                self.old, self.known = self.known, {}
+            long = self._learn(set().union(*(w for w in words if w is not None)).difference(self.known))
             for t, w in zip(part, words, strict=True):
                 yield self._encode([t])[0] if w is None else b"".join(map(self.known.__getitem__, w))
-            for w in new:  # long words rarely come again
-                if len(w) > CACHED_LENGTH:
-                    del self.known[w]
+            for w in long:  # they rarely come again
+                del self.known[w]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
