@@ -14,6 +14,7 @@ pieces dealt to fewer shards, level by level, until one shard is left.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -34,11 +35,15 @@ SMALL = 6
 LEVELS = 12
 VOCABULARY = "word_bpe_49k.json"
 #: Words and parts of words that a Python worker keeps with their ids, in each of two generations (some 180 bytes
-#: each, 36 MB in all), and the longest such word.
-CACHED_WORDS, CACHED_LENGTH = 100_000, 48
-PRINTABLE = re.compile("[!-~]+").fullmatch
-#: Fixed value: the vocabulary's pre-tokenizer pattern, for lower-case ASCII.
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+#: each, 72 MB in all), and the longest such word.
+CACHED_WORDS, CACHED_LENGTH = 200_000, 48
+#: Words of printable ASCII and the letters of U+00C0 to U+00FF.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: Fixed value: the vocabulary's pre-tokenizer pattern, for such words in lower case.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+#: The byte-level alphabet: bytes that are no printing character of Latin-1 stand at U+0100 and on, in order.
+PRINTING = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LEVEL = {b: b for b in PRINTING} | {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in PRINTING)}
 
 
 class WordIds:
@@ -68,24 +73,26 @@ class WordIds:
     def _learn(self, words: set[str]) -> list[str]:
         """Add ``words`` to the known ones; those too long to keep are returned.
 
-        Printable ASCII needs no normaliser but lower case, and its bytes stand
-        for themselves: the pre-tokenizer's pattern cuts it into parts, which the
-        model encodes.  Other words, and those with a special token in them, go
-        through the whole tokenizer.
+        Plain words need no normaliser but lower case (without combining marks they
+        are in NFC): the pre-tokenizer's pattern cuts them into parts, which the
+        model encodes by their bytes.  Other words, and those with a special token
+        in them, go through the whole tokenizer.
         """
         known, old, rest = self.known, self.old, []
         for w in words:
             if (ids := old.get(w)) is not None:
                 known[w] = ids
                 continue
-            if len(w) > CACHED_LENGTH or not PRINTABLE(w) or "<|" in w:
+            if len(w) > CACHED_LENGTH or not PLAIN(w) or "<|" in w:
                 rest.append(w)
                 continue
             own = []
             for x in PARTS(w.lower()):
                 ids = known.get(x) or old.get(x)
                 if ids is None:
-                    ids = np.array([t.id for t in self.model.tokenize(x)], dtype="<u4").tobytes()
+                    alone = x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_LEVEL)
+                    ids = [t.id for t in self.model.tokenize(alone)]
+                    ids = struct.pack(f"<{len(ids)}I", *ids)
                 known[x] = ids
                 own.append(ids)
             known[w] = b"".join(own)
